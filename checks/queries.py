@@ -130,5 +130,5 @@ QUERIES: dict[str, Query] = {
     "r46_partition_tree": _report(partitions.partition_tree),
     "r47_inherit_children": _report(partitions.inherit_children),
     "r48_partition_sizes": _report(partitions.partition_sizes),
-    "r48_partition_sizes_of_database": _report(partitions.partition_sizes, database="algeria"),
+    "r48_partition_sizes_of_database": _report(partitions.partition_sizes, database="nation_3"),
 }
