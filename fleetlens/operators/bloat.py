@@ -190,15 +190,17 @@ def index_key_widths(c: Catalog) -> DataFrame:
 
     A key column that is an expression (position 0) keeps its statistics under
     the index itself, any other one under the table, so a single equi join on
-    (relation, position) finds both.
+    (relation, position) finds both. The other columns of the index are carried
+    along, which spares a second look at the index table.
     """
+    carried = c.on("indexrelid", "indrelid", "indexname", "reltuples", "relpages", "idx_scan")
     keys = (
         c.table("pg_index")
         .filter((F.lower("amname") == "btree") & (F.col("relpages") > 0))
-        .select(*c.on("indexrelid", "indrelid"), F.posexplode(F.split("indkey", " ")).alias("pos", "key"))
+        .select(*carried, F.posexplode(F.split("indkey", " ")).alias("pos", "key"))
         .withColumn("key", F.col("key").cast("int"))
         .select(
-            *c.on("indexrelid"),
+            *carried,
             F.when(F.col("key") == 0, F.col("indexrelid")).otherwise(F.col("indrelid")).alias("relid"),
             F.when(F.col("key") == 0, F.col("pos") + 1).otherwise(F.col("key")).alias("attnum"),
         )
@@ -207,7 +209,7 @@ def index_key_widths(c: Catalog) -> DataFrame:
     width = F.coalesce("avg_width", F.lit(UNKNOWN_WIDTH))
     return (
         keys.join(_column_stats(c), c.on("relid", "attnum"), "inner")
-        .groupBy(*c.on("indexrelid"))
+        .groupBy(*carried)
         .agg(
             F.when(F.max(null_frac) == 0, INDEX_TUPLE_HEADER)
             .otherwise(INDEX_TUPLE_HEADER_WITH_NULLS)
@@ -224,14 +226,7 @@ def index_bloat(c: Catalog) -> DataFrame:
     )
     df = (
         index_key_widths(c)
-        .join(
-            c.pick(
-                "pg_index", indexrelid="indexrelid", indrelid="indrelid", idxname="indexname",
-                reltuples="reltuples", relpages="relpages", idx_scans="idx_scan",
-            ),
-            c.on("indexrelid"),
-            "inner",
-        )
+        .withColumnsRenamed({"indexname": "idxname", "idx_scan": "idx_scans"})
         .join(tables, c.on("indrelid"), "inner")
         .join(c.schemas(), c.on("nsp_oid"), "inner")
     )

@@ -35,7 +35,9 @@ def index_columns(c: Catalog, table: str | None = None) -> DataFrame:
     names = (
         c.table("pg_index")
         .select(
-            *c.on("indexrelid", "indrelid"), F.posexplode(F.split("indkey", " ")).alias("pos", "key")
+            *c.on("indexrelid", "indrelid"),
+            F.col("indexname").alias("index_name"),
+            F.posexplode(F.split("indkey", " ")).alias("pos", "key"),
         )
         .withColumn("attnum", F.col("key").cast("int"))
         .join(
@@ -43,18 +45,13 @@ def index_columns(c: Catalog, table: str | None = None) -> DataFrame:
             c.on("indrelid", "attnum"),
             "inner",
         )
-        .groupBy(*c.on("indexrelid"))
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "attnum", "attname"))).alias("parts"))
+        .groupBy(*c.on("indexrelid", "indrelid", "index_name"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "attname"))).alias("parts"))
     )
     # A column named twice in one key counts once, at its first position.
     first_seen = F.array_distinct(F.transform("parts", lambda p: p["attname"]))
     df = (
-        names.join(
-            c.pick("pg_index", indexrelid="indexrelid", indrelid="indrelid", index_name="indexname"),
-            c.on("indexrelid"),
-            "inner",
-        )
-        .join(tables, c.on("indrelid"), "inner")
+        names.join(tables, c.on("indrelid"), "inner")
         .join(c.pick("pg_namespace", nsp_oid="oid", table_schema="nspname"), c.on("nsp_oid"), "left")
         .select(
             *c.on("table_schema", "table_name", "index_name"),

@@ -201,70 +201,91 @@ LOCKS_SHOWN = 5
 REPORT_DEPTH = 5
 
 
-def _locks_with_target(c: Catalog) -> DataFrame:
-    """Locks with their target as text, ``(relation,db:a;rel:b)``."""
-    classes = c.pick("pg_class", relation_key="oid", relation_name="relname")
-    owners = c.pick("pg_class", class_key="oid", class_name="relname")
-    databases = c.pick("pg_database", database_key="oid", datname="datname")
+# The columns that name the target of each kind of lock in the
+# report; a kind not listed is named by its database alone.
+NAMED_BY = {
+    "database": ["relation", "extend", "page", "tuple"],
+    "relation": ["relation", "extend", "page", "tuple"],
+    "page": ["page", "tuple"],
+    "tuple": ["tuple"],
+    "transactionid": ["transactionid"],
+    "virtualxid": ["virtualxid"],
+    "classid": ["object"],
+    "objid": ["object"],
+    "objsubid": ["object"],
+}
+REPORT_TARGET = ["locktype", *NAMED_BY]
+
+
+def _report_locks(c: Catalog) -> DataFrame:
+    """Locks with the target columns that their kind does not use set to NULL."""
+    kind = F.col("locktype")
+    listed = sorted({k for kinds in NAMED_BY.values() for k in kinds})
+    columns = []
+    for name, kinds in NAMED_BY.items():
+        used = kind.isin(*kinds)
+        if name == "database":
+            used = used | ~kind.isin(*listed)
+        columns.append(F.when(used, F.col(name)).alias(name))
+    return c.table("pg_locks").select(*c.on("pid", "granted", "mode", "locktype"), *columns)
+
+
+def _with_target_text(c: Catalog, locks: DataFrame) -> DataFrame:
+    """Add ``lock_target``: mode and target as text, ``ShareLock(relation,db:a;rel:b)``."""
     named = (
-        c.table("pg_locks")
-        .withColumns(
+        locks.withColumns(
             {
                 "relation_key": spread_absent(F.col("relation"), F.col("pid")),
                 "class_key": spread_absent(F.col("classid"), F.col("pid")),
                 "database_key": spread_absent(F.col("database"), F.col("pid")),
             }
         )
-        .join(databases, c.on("database_key"), "left")
-        .join(classes, c.on("relation_key"), "left")
-        .join(owners, c.on("class_key"), "left")
+        .join(c.pick("pg_database", database_key="oid", datname="datname"), c.on("database_key"), "left")
+        .join(c.pick("pg_class", relation_key="oid", relation_name="relname"), c.on("relation_key"), "left")
+        .join(c.pick("pg_class", class_key="oid", class_name="relname"), c.on("class_key"), "left")
     )
 
-    def part(label: str, value: str | Column) -> Column:
-        column = F.col(value) if isinstance(value, str) else value
-        return F.concat(F.lit(label), column.cast("string"))
-
-    database = part("db:", "datname")
-    relation = part("rel:", F.coalesce("relation_name", F.col("relation").cast("string")))
-    page, row = part("page#", "page"), part("tuple#", "tuple")
-    owner = part("class:", F.coalesce("class_name", F.col("classid").cast("string")))
+    def part(label: str, *value: str) -> Column:
+        return F.concat(F.lit(label), F.coalesce(*[F.col(v).cast("string") for v in value]))
+
+    # Parts a kind does not use are NULL and vanish.
+    object_name = F.concat_ws(
+        ";",
+        part("db:", "datname"),
+        part("rel:", "relation_name", "relation"),
+        part("page#", "page"),
+        part("tuple#", "tuple"),
+        part("class:", "class_name", "classid"),
+        part("objid:", "objid"),
+        part("col#", "objsubid"),
+    )
     kind = F.col("locktype")
     what = (
-        F.when(kind.isin("relation", "extend"), F.concat_ws(";", database, relation))
-        .when(kind == "page", F.concat_ws(";", database, relation, page))
-        .when(kind == "tuple", F.concat_ws(";", database, relation, page, row))
-        .when(kind == "transactionid", F.col("transactionid").cast("string"))
+        F.when(kind == "transactionid", F.col("transactionid").cast("string"))
         .when(kind == "virtualxid", F.col("virtualxid"))
-        .when(kind == "object", F.concat_ws(";", owner, part("objid:", "objid"), part("col#", "objsubid")))
-        .otherwise(F.coalesce(database, F.lit("")))
-    )
-    return named.select(
-        *c.on("pid", "granted", "mode"),
-        concat_skip_null("(", kind, ",", what, ")").alias("target"),
+        .otherwise(object_name)
     )
+    text = concat_skip_null(F.col("mode"), "(", kind, ",", what, ")")
+    return named.withColumn("lock_target", text)
 
 
 def _waits(c: Catalog, locks: DataFrame, hot_rows: int) -> DataFrame:
     """(keys, pid, blocker_pid, lock_target): waiters with holders in conflict.
 
-    Each waiting lock is first turned into the modes it cannot stand, so that
-    the join on (target, mode) forms conflicting pairs only.
+    Pairs are formed and judged on the narrow columns; names come after.
     """
-    waiting = (
-        locks.filter(~F.col("granted"))
-        .join(F.broadcast(lock_conflicts(locks.sparkSession)), F.col("mode") == F.col("requested"), "inner")
-        .select(
-            *c.on("target", "held", "pid"), F.concat("mode", "target").alias("lock_target")
-        )
-    )
+    waiting = locks.filter(~F.col("granted")).drop("granted")
     holding = locks.filter("granted").select(
-        *c.on("target"), F.col("mode").alias("held"), F.col("pid").alias("blocker_pid")
+        *c.on(*REPORT_TARGET), F.col("mode").alias("held"), F.col("pid").alias("blocker_pid")
     )
-    return (
-        grid_join(waiting, holding, c.on("target", "held"), "pid", "blocker_pid", hot_rows)
+    conflicts = F.broadcast(lock_conflicts(locks.sparkSession))
+    pairs = (
+        grid_join(waiting, holding, c.on(*REPORT_TARGET), "pid", "blocker_pid", hot_rows)
         .filter(F.col("pid") != F.col("blocker_pid"))
-        .select(*c.on("pid", "blocker_pid", "lock_target"))
+        .withColumn("requested", F.col("mode"))
+        .join(conflicts, ["requested", "held"], "inner")
     )
+    return _with_target_text(c, pairs).select(*c.on("pid", "blocker_pid", "lock_target"))
 
 
 def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame) -> DataFrame:
@@ -278,9 +299,8 @@ def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame) -> DataFrame:
     ).distinct()
     wait_counts = waits.groupBy(*c.on("lock_target")).agg(F.count(F.lit(1)).alias("wait_count"))
     held = (
-        locks.filter("granted")
-        .join(involved, c.on("pid"), "left_semi")
-        .select(*c.on("pid"), F.concat("mode", "target").alias("lock_target"))
+        _with_target_text(c, locks.filter("granted").join(involved, c.on("pid"), "left_semi"))
+        .select(*c.on("pid", "lock_target"))
         .join(wait_counts, c.on("lock_target"), "left")
         .withColumn(
             "entry",
@@ -296,7 +316,7 @@ def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame) -> DataFrame:
         .groupBy(*c.on("pid"))
         .agg(F.sort_array(F.collect_list(F.struct("rank", "entry"))).alias("first"))
     )
-    sizes = held.groupBy(*c.on("pid")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = locks.filter("granted").groupBy(*c.on("pid")).agg(F.count(F.lit(1)).alias("n"))
     more = F.when(
         F.col("n") > LOCKS_SHOWN,
         F.concat(F.lit("... "), (F.col("n") - LOCKS_SHOWN).cast("string"), F.lit(" more ...")),
@@ -314,7 +334,7 @@ def lock_report(c: Catalog, max_depth: int = REPORT_DEPTH, hot_rows: int = HOT_R
     the pids from the root down. A session that is already above in its own
     branch (a deadlock) does not open another level.
     """
-    locks = cut_lineage(_locks_with_target(c))
+    locks = _report_locks(c)
     waits = cut_lineage(_waits(c, locks, hot_rows))
     sessions = c.table("pg_stat_activity")
     waiting_pids = waits.select(*c.on("pid")).distinct()
@@ -372,14 +392,14 @@ def lock_report(c: Catalog, max_depth: int = REPORT_DEPTH, hot_rows: int = HOT_R
         " ago",
     )
     df = (
-        tree.join(
+        tree.join(_acquired(c, locks, waits), c.on("pid"), "left")
+        .join(
             sessions.select(
                 *c.on("pid", "usename", "datname", "client_addr", "client_port", "query", "query_start", "wait_event", "state")
             ),
             c.on("pid"),
             "left",
         )
-        .join(_acquired(c, locks, waits), c.on("pid"), "left")
         .select(
             *c.keys,
             concat_skip_null(F.lpad(F.lit("=> "), 4 * depth, F.lit(" ")), F.col("pid")).alias("pid"),

@@ -14,6 +14,9 @@ HOT_ROWS = 4096
 #: A hot-key table is broadcast up to this many rows (about 20 MB), else shuffled.
 BROADCAST_ROWS = 100_000
 
+_HASH = "key_hash"
+_AXES = {"columns": "cell_column", "rows": "cell_row"}
+
 
 def equal_or_both_null(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -41,47 +44,49 @@ def grid_join(
     The result has the left columns, then the right ones without ``keys``; all
     other names must differ.
     """
-    hot = cut_lineage(_hot_keys(left, right, keys, hot_rows))
+    left = left.withColumn(_HASH, F.xxhash64(*keys))
+    right = right.withColumn(_HASH, F.xxhash64(*keys))
+    hot = cut_lineage(_hot_keys(left, right, hot_rows))
     n_hot = hot.count()
     if n_hot == 0:
-        return _join(left, right, keys)
+        return _join(left.drop(_HASH), right.drop(_HASH), keys)
     if n_hot <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    left = _place(left, hot, keys, left_id, own="columns", copies="rows")
-    right = _place(right, hot, keys, right_id, own="rows", copies="columns")
-    return _join(left, right, [*keys, "cell_column", "cell_row"]).drop("cell_column", "cell_row")
+    left = _place(left, hot, left_id, own="columns", copies="rows")
+    right = _place(right, hot, right_id, own="rows", copies="columns")
+    return _join(left, right, [*keys, *_AXES.values()]).drop(*_AXES.values())
 
 
-def _hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Keys with many rows: at most (rows of both sides) / ``hot_rows`` of them."""
-    n_left = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.lit(0).alias("n"))
-    n_right = right.groupBy(*keys).agg(F.lit(0).alias("m"), F.count(F.lit(1)).alias("n"))
-    counts = n_left.unionByName(n_right).groupBy(*keys).agg(
-        F.sum("m").alias("m"), F.sum("n").alias("n")
-    )
+def _hot_keys(left: DataFrame, right: DataFrame, hot_rows: int) -> DataFrame:
+    """Hashes of the keys with many rows: at most (rows of both) / ``hot_rows``.
+
+    Counting by a hash keeps this pass narrow. Two keys with the same hash share
+    a grid they may not need; the join itself still compares the keys.
+    """
+    m = left.select(_HASH, F.lit(1).alias("m"), F.lit(0).alias("n"))
+    n = right.select(_HASH, F.lit(0).alias("m"), F.lit(1).alias("n"))
+    counts = m.unionByName(n).groupBy(_HASH).agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
     return counts.filter(
         (F.col("m") > 0) & (F.col("n") > 0) & (F.greatest("m", "n") > hot_rows)
     ).select(
-        *keys,
+        _HASH,
         F.ceil(F.col("m") / hot_rows).cast("int").alias("columns"),
         F.ceil(F.col("n") / hot_rows).cast("int").alias("rows"),
     )
 
 
-def _place(
-    df: DataFrame, hot: DataFrame, keys: list[str], id_column: str, own: str, copies: str
-) -> DataFrame:
+def _place(df: DataFrame, hot: DataFrame, id_column: str, own: str, copies: str) -> DataFrame:
     """Give every row its cells: one on the ``own`` axis, all on the other."""
-    axis = {"columns": "cell_column", "rows": "cell_row"}
-    marked = df.join(hot, equal_or_both_null(df, hot, keys), "left").select(
-        *[df[c] for c in df.columns],
-        F.coalesce(hot[own], F.lit(1)).alias("own"),
-        F.coalesce(hot[copies], F.lit(1)).alias("copies"),
+    columns = [c for c in df.columns if c != _HASH]
+    marked = df.join(hot, _HASH, "left").select(
+        *columns,
+        F.coalesce(own, F.lit(1)).alias("own"),
+        F.coalesce(copies, F.lit(1)).alias("copies"),
     )
     return marked.select(
-        *df.columns,
-        F.pmod(F.xxhash64(id_column), F.col("own")).cast("int").alias(axis[own]),
-        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(axis[copies]),
+        *columns,
+        F.pmod(F.xxhash64(id_column), F.col("own")).cast("int").alias(_AXES[own]),
+        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(_AXES[copies]),
     )
 
 
