@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.fixtures import catalog, load
+from checks.fixtures import FIXTURES, catalog
 from fleetlens.operators import (
     access, bloat, indexes, locks, partitions, replication, server, sessions, sizes, transactions,
     vacuum,
 )
+from fleetlens.plans.levels import ensure_checkpoint_dir
+from fleetlens.streaming.progress import progress_watch
+from fleetlens.streaming.run import snapshot_stream, write_stream
+from fleetlens.streaming.wal import wal_hourly_watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,3 +137,38 @@ QUERIES: dict[str, Query] = {
     "r48_partition_sizes": _report(partitions.partition_sizes),
     "r48_partition_sizes_of_database": _report(partitions.partition_sizes, database="nation_3"),
 }
+
+
+def _run_stream(watch: Callable[..., DataFrame], view: Callable[[DataFrame], DataFrame], **args) -> Query:
+    """Follow the events as a stream of files and give what was written."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        stream = snapshot_stream(spark, sf_dir, schema, glob="events.parquet")
+        folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+        df = watch(view(stream), keys=(), **args)
+        write_stream(df, f"{folder}/rows", f"{folder}/state").awaitTermination()
+        return plain(spark.read.schema(df.schema).parquet(f"{folder}/rows"))
+
+    return run
+
+
+def as_progress(events: DataFrame) -> DataFrame:
+    """Events as progress snapshots: each user is a session that scans blocks."""
+    return events.select(
+        F.col("ts").alias("snapshot_ts"),
+        F.col("user_id").alias("pid"),
+        F.col("event_type").alias("phase"),
+        F.col("event_id").alias("heap_blks_scanned"),
+        (F.col("event_id") * 2 + 100).alias("heap_blks_total"),
+    )
+
+
+def as_wal_files(events: DataFrame) -> DataFrame:
+    return FIXTURES["wal_files"].frame(events)
+
+
+QUERIES["st1_progress_watch"] = _run_stream(
+    progress_watch, as_progress, window="6 hours", delay="10 minutes"
+)
+QUERIES["st2_wal_hourly_watch"] = _run_stream(wal_hourly_watch, as_wal_files)

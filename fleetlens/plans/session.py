@@ -15,6 +15,13 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
+    # Parquet is smaller than its rows: keep the planner from broadcasting a
+    # side because its files look small.
+    "spark.sql.sources.fileCompressionFactor": "3.0",
+    # State of streams on local disk rather than on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
 }
 
