@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.sources.schemas import KEYS, PARTITION, VIEWS
+from fleetlens.sources.schemas import KEYS, PARTITION, VIEWS, view_columns
 
 #: Schemas that belong to the server itself.
 SYSTEM_SCHEMAS = ["pg_catalog", "information_schema"]
@@ -37,6 +36,7 @@ class Catalog:
         if unknown:
             raise ValueError(f"unknown views: {sorted(unknown)}")
         self._tables = tables
+        self._conformed: dict[str, DataFrame] = {}
         self.keys = list(keys)
         self.now = F.col(now) if isinstance(now, str) else now
         self.ordered = ordered
@@ -70,10 +70,6 @@ class Catalog:
             tables[name] = df
         return cls(tables, ordered=ordered)
 
-    @cached_property
-    def _schemas(self) -> dict[str, T.StructType]:
-        return {name: T.StructType.fromDDL(ddl) for name, ddl in VIEWS.items()}
-
     def has(self, name: str) -> bool:
         return name in self._tables
 
@@ -81,18 +77,22 @@ class Catalog:
         """A view in its superset schema: missing columns are NULL."""
         if name not in self._tables:
             raise KeyError(f"the snapshot has no view {name!r}")
-        df = self._tables[name]
-        present = set(df.columns)
-        columns = [F.col(k) for k in self.keys]
-        for field in self._schemas[name].fields:
-            source = F.col(field.name) if field.name in present else F.lit(None)
-            columns.append(source.cast(field.dataType).alias(field.name))
-        return df.select(*columns)
+        if name not in self._conformed:
+            df = self._tables[name]
+            present = set(df.columns)
+            self._conformed[name] = df.selectExpr(
+                *self.keys,
+                *[
+                    f"cast({column if column in present else 'null'} as {type}) as {column}"
+                    for column, type in view_columns(name).items()
+                ],
+            )
+        return self._conformed[name]
 
     def pick(self, name: str, **columns: str) -> DataFrame:
         """Keys plus ``new_name="source column"``, ready to join by name."""
-        return self.table(name).select(
-            *self.keys, *[F.col(old).alias(new) for new, old in columns.items()]
+        return self.table(name).selectExpr(
+            *self.keys, *[f"`{old}` as `{new}`" for new, old in columns.items()]
         )
 
     def on(self, *columns: str) -> list[str]:

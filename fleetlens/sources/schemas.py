@@ -84,3 +84,8 @@ VIEWS: dict[str, str] = {
 #: Partition column of landed snapshots and the key columns every view carries.
 PARTITION = "snapshot_date"
 KEYS = {"cluster_id": "string", "snapshot_ts": "timestamp"}
+
+
+def view_columns(view: str) -> dict[str, str]:
+    """Column name -> type of a view."""
+    return dict(column.split() for column in VIEWS[view].split(","))

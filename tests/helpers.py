@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,16 +27,30 @@ def frame(spark: SparkSession, view: str, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
 
 
+class _Rows(Mapping[str, DataFrame]):
+    """Views made of rows when asked for."""
+
+    def __init__(self, spark: SparkSession, rows: dict[str, list[dict]], keyed: bool) -> None:
+        self.spark, self.rows, self.keyed = spark, rows, keyed
+
+    def __getitem__(self, view: str) -> DataFrame:
+        rows = self.rows[view]
+        if self.keyed:
+            rows = [{"cluster_id": r.get("cluster_id", 1), **r} for r in rows]
+        df = frame(self.spark, view, rows)
+        return df.withColumn("cluster_id", F.lit(1)) if self.keyed and not rows else df
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.rows)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
 def small_catalog(spark: SparkSession, keys: tuple[str, ...] = (), **tables: list[dict]) -> Catalog:
     """A catalog of the given rows; unnamed views are empty, or :data:`BASE`."""
     rows = {**{v: [] for v in VIEWS}, **BASE, **tables}
-    views = {}
-    for view, given in rows.items():
-        if keys:
-            given = [{"cluster_id": r.get("cluster_id", 1), **r} for r in given]
-        df = frame(spark, view, given)
-        views[view] = df.withColumn("cluster_id", F.lit(1)) if keys and "cluster_id" not in df.columns else df
-    return Catalog(views, keys=keys, now=F.lit(NOW).cast("timestamp"))
+    return Catalog(_Rows(spark, rows, bool(keys)), keys=keys, now=F.lit(NOW).cast("timestamp"))
 
 
 def values(df: DataFrame, *columns: str) -> list:

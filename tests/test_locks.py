@@ -48,7 +48,7 @@ def graph(seed: int, n: int = 6, p: float = 0.22) -> set[tuple[int, int]]:
     return {(a, b) for a in range(1, n + 1) for b in range(1, n + 1) if a != b and rng.random() < p}
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_wait_queue_equals_brute_force(spark, seed):
     edges = graph(seed)
     paths = values(queue(spark, edges), "path")
@@ -167,7 +167,7 @@ def tree_by_hand(edges):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_tree_equals_brute_force(spark, seed):
     rng = random.Random(seed)
     edges = {(a, b) for a in range(2, 12) for b in range(1, a) if rng.random() < 0.25} | ({(20, 21), (21, 20)} if seed else set())
