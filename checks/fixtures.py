@@ -193,6 +193,15 @@ FIXTURES: dict[str, Fixture] = {
                  " 'autovacuum: VACUUM t (to prevent wraparound)' when 2 then"
                  " 'select * from PG_STAT_ACTIVITY' else concat('select ',cast(event_id as string)) end",
     }),
+    "fleet_activity": Fixture("events", {
+        "cluster_id": "case when event_id%3=0 then 0 else user_id%8 end",
+        "pid": "event_id",
+        "datname": "case when user_id%11=0 then null else concat('db',cast(user_id%5 as string)) end",
+        "state": "case event_type when 'view' then 'idle' when 'click' then 'active'"
+                 " when 'purchase' then 'idle in transaction' when 'signup' then 'active' else null end",
+        "wait_event": "case when event_id%3=0 then null else concat('we',cast(event_id%7 as string)) end",
+        "wait_event_type": "case when event_id%3=0 then null else concat('wt',cast(event_id%4 as string)) end",
+    }),
     "locks_chain": Fixture("customer", {
         "pid": "1+c_custkey",
         "relation": "case when held=1 then 1+c_custkey else cast(floor((1+c_custkey)/8.0) as bigint) end",
@@ -314,6 +323,25 @@ FIXTURES: dict[str, Fixture] = {
         "cluster_id": "cast(n_nationkey as bigint)",
         "postmaster_start": "timestamp '2024-01-01 00:00:00'",
     }),
+    # A fleet in which one cluster has a third of everything.
+    "fleet_class": Fixture("part", {
+        "cluster_id": "case when p_partkey%3=0 then 0 else p_partkey%8 end",
+        "oid": "100000+p_partkey",
+        "relname": "concat('t_',cast(p_partkey as string))",
+        "relnamespace": "cast(1+p_size%5 as bigint)",
+        "relkind": "case p_partkey%4 when 0 then 't' when 1 then 'v' else 'r' end",
+        "relfrozenxid": "3+(p_partkey*7919)%1000000",
+        "total_size": "cast(p_size*40*8192 as bigint)",
+    }),
+    "fleet_namespace": Fixture("region", {
+        "cluster_id": "cast(cluster_id as bigint)",
+        "oid": "cast(r_regionkey+1 as bigint)",
+        "nspname": "case r_regionkey when 0 then 'public' when 3 then 'pg_toast' else 'app' end",
+    }, each=("cluster_id", [0, 1, 2, 3, 4, 5, 6, 7])),
+    "fleet_info": Fixture("nation", {
+        "cluster_id": "cast(n_nationkey as bigint)",
+        "next_xid": "cast(2000000+n_nationkey*1000 as bigint)",
+    }),
     "standby_info": Fixture("supplier", {
         "cluster_id": "s_suppkey",
         "in_recovery": "true",

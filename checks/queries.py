@@ -168,6 +168,16 @@ def as_wal_files(events: DataFrame) -> DataFrame:
     return FIXTURES["wal_files"].frame(events)
 
 
+FLEET = {
+    "keys": ("cluster_id",),
+    "views": {
+        "pg_stat_activity": "fleet_activity", "pg_class": "fleet_class", "pg_namespace": "fleet_namespace",
+        "server_info": "fleet_info",
+    },
+}
+QUERIES["r21_connection_summary_by_cluster"] = _report(sessions.connection_summary, **FLEET)
+QUERIES["r24_wait_events_by_cluster"] = _report(sessions.wait_events, **FLEET)
+QUERIES["r27_oldest_relations_by_cluster"] = _report(transactions.oldest_relations, **FLEET, k=20)
 QUERIES["st1_progress_watch"] = _run_stream(
     progress_watch, as_progress, window="6 hours", delay="10 minutes"
 )

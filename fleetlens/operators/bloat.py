@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import align_pad, ratio, spread_absent, to_whole
@@ -28,49 +28,74 @@ MEGABYTE = 1 << 20
 BLOAT_RULES = ((50.0, 10.0), (25.0, 1000.0))
 
 
-def tables_without_stats(c: Catalog) -> DataFrame:
-    """User tables with at least one column that has no statistics."""
-    gaps = (
-        c.pick("pg_attribute", relid="relid", attname="attname")
-        .join(c.pick("pg_stats", relid="relid", attname="attname"), c.on("relid", "attname"), "left_anti")
-        .select(*c.on("relid"))
-    )
-    tables = c.pick(
-        "pg_class", relid="oid", nsp_oid="relnamespace", tablename="relname", table_bytes="table_size"
-    )
-    return (
-        c.pick("pg_stat_user_tables", relid="relid", est_rows="n_live_tup")
-        .join(gaps, c.on("relid"), "left_semi")
-        .join(tables, c.on("relid"), "inner")
-        .join(c.user_schemas(), c.on("nsp_oid"), "inner")
-        .select(*c.on("relid", "nspname", "tablename"), "est_rows", "table_bytes")
-    )
-
-
-def row_shapes(c: Catalog) -> DataFrame:
-    """Per table with complete statistics: average row width and null header.
+def _table_stats(c: Catalog) -> DataFrame:
+    """One row per relation of a user schema: its size and its statistics.
 
-    Statistics are reduced to one row per table before any join.
+    Columns and statistics meet once, in a full outer join, and are reduced to
+    one row per relation. What is missing on either side shows in the counts, so
+    no later stage has to look at columns again.
     """
-    bitmap_bytes = F.call_function("div", F.count_if(F.col("null_frac") != 0), F.lit(8))
-    per_table = (
-        c.table("pg_stats")
+    columns = c.pick("pg_attribute", relid="relid", attname="attname", attnum="attnum")
+    null_frac, width = F.col("null_frac"), F.col("avg_width")
+    bitmap_bytes = F.call_function("div", F.count_if(null_frac != 0), F.lit(8))
+    per_relation = (
+        columns.join(c.table("pg_stats").withColumn("has_stats", F.lit(True)), c.on("relid", "attname"), "full")
         .groupBy(*c.on("relid"))
         .agg(
-            F.sum((1 - F.col("null_frac")) * F.col("avg_width")).alias("data_width"),
+            F.count("attnum").alias("n_columns"),
+            F.count("has_stats").alias("n_stats"),
+            F.count_if(F.col("has_stats").isNull()).alias("n_gaps"),
+            F.sum((1 - null_frac) * width).alias("data_width"),
             F.max("null_frac").alias("max_null_frac"),
             (F.lit(TUPLE_HEADER + 1) + bitmap_bytes).alias("null_header"),
         )
     )
-    fixed_part = TUPLE_HEADER + MAX_ALIGN - (TUPLE_HEADER % MAX_ALIGN or MAX_ALIGN)
+    relations = c.table("pg_class").select(
+        *c.keys,
+        F.col("oid").alias("relid"),
+        F.col("relname").alias("tablename"),
+        F.col("relnamespace").alias("nsp_oid"),
+        "relkind", "reltuples", "relpages", "table_size",
+        spread_absent(F.col("reltoastrelid"), F.col("oid")).alias("toast_key"),
+    )
+    counted = c.pick("pg_stat_user_tables", relid="relid", n_live_tup="n_live_tup").withColumn(
+        "is_counted", F.lit(True)
+    )
     return (
-        per_table.join(c.pick("pg_attribute", relid="relid"), c.on("relid"), "left_semi")
-        .join(tables_without_stats(c).select(*c.on("relid")), c.on("relid"), "left_anti")
-        .select(
-            *c.on("relid"),
-            (F.col("data_width") + fixed_part).alias("row_width"),
-            (F.col("max_null_frac") * align_pad(F.col("null_header"), MAX_ALIGN)).alias("null_width"),
-        )
+        per_relation.join(relations, c.on("relid"), "inner")
+        .join(counted, c.on("relid"), "left")
+        .join(c.user_schemas(), c.on("nsp_oid"), "inner")
+        # Only tables the server counts rows of are called incomplete.
+        .withColumn("incomplete", (F.col("n_gaps") > 0) & F.col("is_counted").isNotNull())
+    )
+
+
+def tables_without_stats(c: Catalog) -> DataFrame:
+    """User tables with at least one column that has no statistics."""
+    return _table_stats(c).filter("incomplete").select(
+        *c.on("relid", "nspname", "tablename"),
+        F.col("n_live_tup").alias("est_rows"),
+        F.col("table_size").alias("table_bytes"),
+    )
+
+
+def _row_width() -> Column:
+    fixed_part = TUPLE_HEADER + MAX_ALIGN - (TUPLE_HEADER % MAX_ALIGN or MAX_ALIGN)
+    return F.col("data_width") + fixed_part
+
+
+def _null_width() -> Column:
+    return F.col("max_null_frac") * align_pad(F.col("null_header"), MAX_ALIGN)
+
+
+def _has_shape() -> Column:
+    return (F.col("n_stats") > 0) & (F.col("n_columns") > 0) & ~F.col("incomplete")
+
+
+def row_shapes(c: Catalog) -> DataFrame:
+    """Per relation with complete statistics: average row width and null header."""
+    return _table_stats(c).filter(_has_shape()).select(
+        *c.on("relid"), _row_width().alias("row_width"), _null_width().alias("null_width")
     )
 
 
@@ -80,19 +105,6 @@ def bloat_estimates(c: Catalog) -> DataFrame:
     Tables with incomplete statistics are listed too, with ``can_estimate``
     false and no estimate.
     """
-    tables = (
-        c.table("pg_class")
-        .filter(F.col("relkind") == "r")
-        .select(
-            *c.keys,
-            F.col("oid").alias("relid"),
-            F.col("relname").alias("tablename"),
-            F.col("relnamespace").alias("nsp_oid"),
-            "reltuples",
-            "relpages",
-            spread_absent(F.col("reltoastrelid"), F.col("oid")).alias("toast_key"),
-        )
-    )
     toast = (
         c.table("pg_class")
         .filter(F.col("relkind") == "t")
@@ -103,58 +115,50 @@ def bloat_estimates(c: Catalog) -> DataFrame:
             F.col("reltuples").alias("toast_tuples"),
         )
     )
+    tables = _table_stats(c).filter(
+        F.col("incomplete") | (_has_shape() & (F.col("relkind") == "r"))
+    ).join(toast, c.on("toast_key"), "left")
+    tables = c.with_server_info(c.with_setting(tables, "block_size", "bigint"), "current_database")
+
     block = F.col("block_size")
-    tuple_bytes = align_pad(F.col("row_width"), MAX_ALIGN) + F.col("null_width") + LINE_POINTER
+    tuple_bytes = align_pad(_row_width(), MAX_ALIGN) + _null_width() + LINE_POINTER
     pages = F.ceil(F.col("reltuples") * tuple_bytes / (block - TABLE_PAGE_HEADER))
     toast_pages = F.ceil(F.coalesce("toast_tuples", F.lit(0)) / TOAST_TUPLES_PER_PAGE)
-    known = c.with_setting(
-        row_shapes(c)
-        .join(tables, c.on("relid"), "inner")
-        .join(c.user_schemas(), c.on("nsp_oid"), "inner")
-        .join(toast, c.on("toast_key"), "left"),
-        "block_size",
-        "bigint",
-    ).select(
-        *c.on("nspname", "tablename"),
-        F.lit(True).alias("can_estimate"),
-        F.col("reltuples").alias("est_rows"),
-        ((F.col("relpages") + F.coalesce("toast_pages", F.lit(0))) * block)
-        .cast("double")
-        .alias("table_bytes"),
-        ((pages + toast_pages) * block).cast("double").alias("expected_bytes"),
+    held = (F.col("relpages") + F.coalesce("toast_pages", F.lit(0))) * block
+    known = ~F.col("incomplete")
+    tables = tables.select(
+        *c.on("current_database", "nspname", "tablename"),
+        known.alias("can_estimate"),
+        F.when(known, F.col("reltuples")).otherwise(F.col("n_live_tup")).alias("est_rows"),
+        F.when(known, held).otherwise(F.col("table_size")).cast("double").alias("held"),
+        F.when(known, (pages + toast_pages) * block).cast("double").alias("expected"),
     )
     table, expected = F.col("table_bytes"), F.col("expected_bytes")
-    known = known.withColumn(
-        "bloat_bytes",
-        F.when((expected > 0) & (table > 0) & (expected <= table), table - expected).otherwise(0.0),
-    ).withColumns(
-        {
-            "table_bytes": F.when(table > 0, table),
-            "expected_bytes": F.when(expected > 0, expected),
-        }
-    )
-    unknown = tables_without_stats(c).select(
-        *c.on("nspname", "tablename"),
-        F.lit(False).alias("can_estimate"),
-        F.col("est_rows").cast("double").alias("est_rows"),
-        F.col("table_bytes").cast("double").alias("table_bytes"),
-        F.lit(None).cast("double").alias("expected_bytes"),
-        F.lit(None).cast("double").alias("bloat_bytes"),
-    )
-    return c.with_server_info(known.unionByName(unknown), "current_database").select(
-        *c.keys,
-        F.col("current_database").alias("databasename"),
-        F.col("nspname").alias("schemaname"),
-        "tablename",
-        "can_estimate",
-        "est_rows",
-        F.round(ratio(F.col("bloat_bytes") * 100, table), 0).alias("pct_bloat"),
-        F.round(F.col("bloat_bytes") / MEGABYTE, 2).alias("mb_bloat"),
-        F.round(table / MEGABYTE, 3).alias("table_mb"),
-        F.round(expected / MEGABYTE, 3).alias("expected_mb"),
-        "table_bytes",
-        "expected_bytes",
-        "bloat_bytes",
+    waste = F.when((expected > 0) & (table > 0) & (expected <= table), table - expected)
+    return (
+        tables.withColumns(
+            {
+                # A table of unknown shape keeps even a size of zero.
+                "table_bytes": F.when((F.col("held") > 0) | ~F.col("can_estimate"), F.col("held")),
+                "expected_bytes": F.when(F.col("expected") > 0, F.col("expected")),
+            }
+        )
+        .withColumn("bloat_bytes", F.when(F.col("can_estimate"), F.coalesce(waste, F.lit(0.0))))
+        .select(
+            *c.keys,
+            F.col("current_database").alias("databasename"),
+            F.col("nspname").alias("schemaname"),
+            "tablename",
+            "can_estimate",
+            "est_rows",
+            F.round(ratio(F.col("bloat_bytes") * 100, table), 0).alias("pct_bloat"),
+            F.round(F.col("bloat_bytes") / MEGABYTE, 2).alias("mb_bloat"),
+            F.round(table / MEGABYTE, 3).alias("table_mb"),
+            F.round(expected / MEGABYTE, 3).alias("expected_mb"),
+            "table_bytes",
+            "expected_bytes",
+            "bloat_bytes",
+        )
     )
 
 

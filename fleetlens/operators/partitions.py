@@ -69,7 +69,7 @@ def partition_tree(c: Catalog) -> DataFrame:
             "table_parent_name", "partitioning_values", "sub_partitioning_values", "level",
         )
     )
-    return c.sort(df, up("table_name"), up("schema_name"))
+    return c.sort(df, up("table_name"), up("schema_name"), up("table_parent_name"))
 
 
 def inherit_children(c: Catalog) -> DataFrame:
@@ -88,7 +88,7 @@ def inherit_children(c: Catalog) -> DataFrame:
         .join(parents, c.on("inhparent"), "inner")
         .select(*c.on("parent_schema", "parent", "child_schema", "child"))
     )
-    return c.sort(df, up("child"))
+    return c.sort(df, up("child"), up("child_schema"), up("parent"))
 
 
 def partition_sizes(c: Catalog, database: str | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ def relation_constraints(c: Catalog, table: str | None = None) -> DataFrame:
             "cons_def",
         )
     )
-    return c.sort(df, up("constraint_name"))
+    return c.sort(df, up("constraint_name"), up("table_schema"), up("table_name"))
 
 
 def _with_toast(c: Catalog, tables: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,21 +54,7 @@ class Catalog:
 
         ``since`` and ``until`` (both inclusive) prune partitions.
         """
-        tables = {}
-        for name, ddl in VIEWS.items():
-            schema = T.StructType.fromDDL(
-                ", ".join([*(f"{k} {t}" for k, t in KEYS.items()), ddl, f"{PARTITION} date"])
-            )
-            path = f"{root}/{name}"
-            if not _exists(spark, path):
-                continue
-            df = spark.read.schema(schema).parquet(path)
-            if since is not None:
-                df = df.filter(F.col(PARTITION) >= F.lit(since).cast("date"))
-            if until is not None:
-                df = df.filter(F.col(PARTITION) <= F.lit(until).cast("date"))
-            tables[name] = df
-        return cls(tables, ordered=ordered)
+        return cls(_Landed(spark, root, since, until), ordered=ordered)
 
     def has(self, name: str) -> bool:
         return name in self._tables
@@ -135,7 +121,31 @@ class Catalog:
         return self.pick("pg_namespace", nsp_oid="oid", nspname="nspname")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+class _Landed(Mapping[str, DataFrame]):
+    """Landed views, each listed and read only when a report asks for it."""
+
+    def __init__(self, spark: SparkSession, root: str, since: str | None, until: str | None) -> None:
+        self._spark, self._root, self._since, self._until = spark, root, since, until
+
+    def __getitem__(self, view: str) -> DataFrame:
+        if view not in self:
+            raise KeyError(view)
+        columns = {**KEYS, **view_columns(view), PARTITION: "date"}
+        schema = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in columns.items()))
+        df = self._spark.read.schema(schema).parquet(f"{self._root}/{view}")
+        if self._since is not None:
+            df = df.filter(F.col(PARTITION) >= F.lit(self._since).cast("date"))
+        if self._until is not None:
+            df = df.filter(F.col(PARTITION) <= F.lit(self._until).cast("date"))
+        return df
+
+    def __contains__(self, view: object) -> bool:
+        context = self._spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self._root}/{view}")
+        return view in VIEWS and path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
+    def __iter__(self) -> Iterator[str]:
+        return (view for view in VIEWS if view in self)
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
