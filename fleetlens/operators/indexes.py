@@ -84,7 +84,7 @@ def duplicate_indexes(c: Catalog) -> DataFrame:
         )
         .filter(F.col("rank") <= 4)
         .groupBy(*group)
-        .agg(*[F.max(F.when(F.col("rank") == i, F.col("indexname"))).alias(f"idx{i}") for i in (1, 2, 3, 4)])
+        .agg(F.sort_array(F.collect_list("indexname")).alias("names"))
     )
     df = (
         totals.join(first, group, "inner")
@@ -96,7 +96,7 @@ def duplicate_indexes(c: Catalog) -> DataFrame:
             "n",
             "total_bytes",
             human_bytes(F.col("total_bytes")).alias("size"),
-            "idx1", "idx2", "idx3", "idx4",
+            *[F.get("names", F.lit(i)).alias(f"idx{i + 1}") for i in range(4)],
         )
     )
     return c.sort(df, down("total_bytes"), up("table"), up("idx1"))
@@ -250,7 +250,7 @@ def unused_indexes(c: Catalog) -> DataFrame:
             }
         )
     )
-    df = c._attach(df, total_writes, ["total_writes"])
+    df = c.attach(df, total_writes, ["total_writes"])
     btree, large = F.col("is_btree"), F.col("index_bytes") > LARGE_INDEX_BYTES
     rare = F.col("scans_per_write") <= 1
     write_share = F.col("writes") / (F.col("total_writes") + 1)

@@ -132,7 +132,6 @@ def vacuum_queue(c: Catalog) -> DataFrame:
         c.table("pg_stat_user_tables")
         .select(*c.on("relid", "n_dead_tup", "last_vacuum", "last_autovacuum"))
         .join(_vacuum_settings(c), c.on("relid"), "inner")
-        .join(c.pick("pg_namespace", nsp_oid="oid", nspname="nspname"), c.on("nsp_oid"), "left")
         .join(index_counts, c.on("relid"), "left")
     )
     running = c.with_server_info(
@@ -154,10 +153,22 @@ def vacuum_queue(c: Catalog) -> DataFrame:
         < F.col("n_dead_tup")
     )
     sessions = c.table("pg_stat_activity").select(
-        *c.on("pid", "query", "wait_event", "wait_event_type"), F.col("pid").alias("session")
+        *c.on("query", "wait_event", "wait_event_type"),
+        F.col("pid").alias("session_key"),
+        F.col("pid").alias("session"),
     )
-    df = df.filter(F.col("table_id").isNull() | F.col("phase").isNotNull() | due).join(
-        sessions, c.on("pid"), "left"
+    # All joins above share one partitioning, by relation. Only what is in the
+    # queue goes on to the lookups; rows without a schema or a session spread.
+    df = (
+        df.filter(F.col("table_id").isNull() | F.col("phase").isNotNull() | due)
+        .withColumns(
+            {
+                "nsp_oid": F.coalesce("nsp_oid", -F.col("pid")),
+                "session_key": F.coalesce("pid", -F.col("table_id")),
+            }
+        )
+        .join(c.pick("pg_namespace", nsp_oid="oid", nspname="nspname"), c.on("nsp_oid"), "left")
+        .join(sessions, c.on("session_key"), "left")
     )
     shown_schema = F.coalesce(F.concat(F.nullif("nspname", F.lit("public")), F.lit(".")), F.lit(""))
     elsewhere = F.concat(F.lit('[something in "'), quote_identifier(F.col("datname")), F.lit('"]'))

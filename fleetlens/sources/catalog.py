@@ -97,13 +97,13 @@ class Catalog:
         )
 
     def with_setting(self, df: DataFrame, name: str, type: str) -> DataFrame:
-        return self._attach(df, self.setting(name, type), [name])
+        return self.attach(df, self.setting(name, type), [name])
 
     def with_server_info(self, df: DataFrame, *columns: str) -> DataFrame:
         info = self.table("server_info").select(*self.keys, *columns)
-        return self._attach(df, info, list(columns))
+        return self.attach(df, info, list(columns))
 
-    def _attach(self, df: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    def attach(self, df: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
         """Add columns of a table that has one row per key."""
         if self.keys:
             return df.join(values, self.keys, "left")
