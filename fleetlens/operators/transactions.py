@@ -95,6 +95,7 @@ def oldest_xmin_holder(c: Catalog) -> DataFrame:
     no start time after every other.
     """
     fields = ["src", "xact_start", "usename", "datname", "query", "backend_xid", "backend_xmin"]
+    undated = F.col("xact_start").isNull().alias("undated")
     sessions = c.table("pg_stat_activity").withColumn("src", F.lit("pg_stat_activity"))
     prepared = c.table("pg_prepared_xacts").select(
         *c.keys,
@@ -112,7 +113,7 @@ def oldest_xmin_holder(c: Catalog) -> DataFrame:
         c.with_server_info(candidates, "snapshot_xmin")
         .filter((F.col("backend_xid") == horizon) | (F.col("backend_xmin") == horizon))
         .groupBy(*c.keys)
-        .agg(F.min(F.struct(F.col("xact_start").isNull().alias("undated"), "xact_start", *[f for f in fields if f != "xact_start"])).alias("first"))
+        .agg(F.min(F.struct(undated, "xact_start", *[f for f in fields if f != "xact_start"])).alias("first"))
         .filter(F.col("first").isNotNull())
         .select(*c.keys, *[F.col(f"first.{f}").alias(f) for f in fields])
     )

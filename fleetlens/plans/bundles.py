@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -102,8 +101,3 @@ def bundle(c: Catalog, command: str, version: int = WAL_STATS_SINCE, **args: obj
         for name, report, names in reports
         if not (name == "wal_stats" and version < WAL_STATS_SINCE)
     }
-
-
-COMMANDS: dict[str, Callable[..., dict[str, DataFrame]]] = {
-    command: partial(bundle, command=command) for command in BUNDLES
-}

@@ -20,6 +20,8 @@ SETTINGS = {
     # Parquet is smaller than its rows: keep the planner from broadcasting a
     # side because its files look small.
     "spark.sql.sources.fileCompressionFactor": "3.0",
+    # Checkpoints of walks go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # State of streams on local disk rather than on the heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -45,6 +45,13 @@ def test_landed_snapshots_are_pruned_and_old_exports_read(spark, tmp_path):
         c.table("pg_locks")
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    land(spark, str(tmp_path))
+    df = sessions.running_queries(Catalog.from_path(spark, str(tmp_path)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Not(EqualTo(state,idle))" in plan.split("PushedFilters")[1]
+
+
 def test_now_is_the_snapshot_time(spark, tmp_path):
     land(spark, str(tmp_path))
     row = sessions.running_queries(Catalog.from_path(spark, str(tmp_path))).agg(F.min("age"), F.max("age")).first()
