@@ -298,8 +298,9 @@ def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame) -> DataFrame:
         waits.select(*c.keys, F.col("blocker_pid").alias("pid"))
     ).distinct()
     wait_counts = waits.groupBy(*c.on("lock_target")).agg(F.count(F.lit(1)).alias("wait_count"))
+    own = locks.filter("granted").join(involved, c.on("pid"), "left_semi")
     held = (
-        _with_target_text(c, locks.filter("granted").join(involved, c.on("pid"), "left_semi"))
+        _with_target_text(c, own)
         .select(*c.on("pid", "lock_target"))
         .join(wait_counts, c.on("lock_target"), "left")
         .withColumn(
@@ -316,7 +317,7 @@ def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame) -> DataFrame:
         .groupBy(*c.on("pid"))
         .agg(F.sort_array(F.collect_list(F.struct("rank", "entry"))).alias("first"))
     )
-    sizes = locks.filter("granted").groupBy(*c.on("pid")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = own.groupBy(*c.on("pid")).agg(F.count(F.lit(1)).alias("n"))
     more = F.when(
         F.col("n") > LOCKS_SHOWN,
         F.concat(F.lit("... "), (F.col("n") - LOCKS_SHOWN).cast("string"), F.lit(" more ...")),
