@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +12,10 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import as_longs, keep, mix
 from fleetlens.llm.components import components
 
-#: Contents that one task of the exact way through a mixed bucket holds on a side.
-BLOCK = 256
+#: Contents that one cell of the exact way through a mixed bucket holds on a side.
+BLOCK = 512
+#: Columns of a block of set elements.
+COLUMNS = 4096
 
 
 def tune_bands(similarity: float, recall: float, max_rows: int = 4, max_hashes: int = 64) -> tuple[int, int]:
@@ -37,7 +38,8 @@ def band_hashes(ids: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def pack(hashes: np.ndarray, weights: np.ndarray | None = None) -> bytes:
-    """A set as bytes: ascending hashes, then their weights if they differ from 1."""
+    """A set as bytes: ascending hashes, then their weights if they differ from 1. A
+    hash has the same weight in every set; counts are told apart as elements."""
     return hashes.tobytes() + (b"" if weights is None else weights.astype(np.float32).tobytes())
 
 
@@ -55,7 +57,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
         return 0.0
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     same = y[at] == x
-    common = np.minimum(u[same], v[at[same]]).sum()
+    common = u[same].sum()
     return float(common / (u.sum() + v.sum() - common))
 
 
@@ -98,7 +100,8 @@ def link_contents(
 
     mixed = _mixed(members, roots)
     cells = _cells(members.select("band", "node"), mixed, roots, block).join(data, "node")
-    more = cells.groupBy("band", "cell").applyInPandas(_cell_links(similarity, weighted), "a binary, b binary")
+    cells = cells.repartition("band", "cell").sortWithinPartitions("band", "cell")
+    more = cells.mapInArrow(_cell_links(similarity, weighted), "a binary, b binary")
     more = keep(more.distinct(), "links")
     if more.isEmpty():
         return roots
@@ -158,31 +161,74 @@ def _cells(members: DataFrame, mixed: DataFrame, roots: DataFrame, block: int) -
     )
 
 
-def _cell_links(similarity: float, weighted: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def compare(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        low, high = map(int, key[1].split("-"))
-        nodes, blocks = cell["node"].tolist(), cell["own"].tolist()
-        roots = {n: r for n, r in zip(nodes, cell["root"], strict=True)}
-        up: dict[bytes, bytes] = {}
-
-        def top(r: bytes) -> bytes:
-            while r in up:
-                r = up[r]
-            return r
-
-        sets = [unpack(d, weighted) for d in cell["data"]]
-        weight = [s[1].sum() for s in sets]
-        out = []
-        for i in range(len(nodes)):
-            for j in range(i):
-                if low != high and blocks[i] == blocks[j]:
-                    continue
-                a, b = top(roots[nodes[i]]), top(roots[nodes[j]])
-                if a == b or min(weight[i], weight[j]) < similarity * max(weight[i], weight[j]):
-                    continue
-                if jaccard(sets[i], sets[j]) >= similarity:
-                    up[max(a, b)] = min(a, b)
-                    out.append((nodes[i], nodes[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+def _cell_links(similarity: float, weighted: bool):
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            found = compare_cell(rows, *map(int, key[1].split("-")), similarity, weighted) if key else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], schema=schema)
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("band", "cell", "node", "own", "root", "data"))
+            for band, cell, *row in zip(*columns, strict=True):
+                if (band, cell) != key:
+                    yield done()
+                    key, rows = (band, cell), []
+                rows.append(row)
+        yield done()
 
     return compare
+
+
+def compare_cell(rows: list, low: int, high: int, similarity: float, weighted: bool) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between components; ``rows`` are (node, block,
+    root, data). A cell of one block compares it with itself."""
+    left = [r for r in rows if r[1] == low]
+    right = left if low == high else [r for r in rows if r[1] == high]
+    if not left or not right:
+        return []
+    common, x, y = overlaps([unpack(r[3], weighted) for r in left], [unpack(r[3], weighted) for r in right])
+    # The product is in single precision: what it lets through is compared exactly.
+    i, j = np.nonzero(common >= (similarity - 1e-3) * (x[:, None] + y[None, :] - common))
+    up: dict[bytes, bytes] = {}
+
+    def top(r: bytes) -> bytes:
+        while r in up:
+            r = up[r]
+        return r
+
+    out = []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(left[p][2]), top(right[q][2])
+        if a != b and jaccard(unpack(left[p][3], weighted), unpack(right[q][3], weighted)) >= similarity:
+            up[max(a, b)] = min(a, b)
+            out.append((left[p][0], right[q][0]))
+    return out
+
+
+def overlaps(left: list, right: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of all intersections, as products of blocks of set elements, and of the sets."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.float32)
+    picked = []
+    for hashes, weights, owner in sides:
+        at = np.searchsorted(shared, hashes)
+        at[at == len(shared)] = 0
+        there = shared[at] == hashes if len(shared) else np.zeros(len(hashes), bool)
+        order = np.argsort(at[there], kind="stable")
+        picked.append((at[there][order], np.sqrt(weights[there][order]).astype(np.float32), owner[there][order]))
+    for start in range(0, len(shared), COLUMNS):
+        blocks = []
+        for (at, root, owner), n in zip(picked, out.shape, strict=True):
+            part = slice(*np.searchsorted(at, [start, start + COLUMNS]))
+            block = np.zeros((n, COLUMNS), np.float32)
+            block[owner[part], at[part] - start] = root[part]
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out, *(np.array([s[1].sum() for s in sets]) for sets in (left, right))

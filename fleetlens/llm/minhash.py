@@ -148,6 +148,16 @@ def _weights(hashes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.nda
     return ids, counts, levels[_feature(ids, len(levels))]
 
 
+def elements(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle that occurs n times is n elements of the same weight, so that what two
+    texts share is the elements they share."""
+    again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    hashes = np.repeat(ids, counts)
+    hashes = np.where(again > 0, mix(hashes + again.astype(np.uint64)), hashes)
+    order = np.argsort(hashes)
+    return hashes[order], np.repeat(weights, counts)[order]
+
+
 class Sampler:
     """Improved consistent weighted sampling with tabled random numbers.
 
@@ -228,7 +238,7 @@ def _weigh(levels: np.ndarray, settings: Settings):
             data = []
             for text in texts(batch.column("text")):
                 ids, counts, level = _weights(shingles(known.of(text)), levels)
-                data.append(pack(ids, counts * (1 + level / STEPS)))
+                data.append(pack(*elements(ids, counts, 1 + level / STEPS)))
             yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "data": pa.array(data, pa.binary())})
 
     return weigh
