@@ -97,7 +97,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     Vectors that are null or hold null or non-finite components, and rows without a
     vec_id, take no part. Only vectors of the same length are compared. A repeated
     vec_id is a candidate as often as it stands; as a query it is asked once for
-    each of its vectors, and the lists are merged. With fewer than k candidates all
+    each of its vectors, and the lists are merged. A product that no long holds counts as the
+    nearest one. With fewer than k candidates all
     are returned. Other columns are not looked at; an empty table gives an empty one.
     """
     rows = vectors.select("vec_id", F.col("embedding").alias("v"), is_query.alias("q")).filter(
@@ -142,5 +143,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
 
 def _rows(lists: dict[int, list[tuple[int, int]]], k: int, schema: pa.Schema) -> pa.RecordBatch:
-    flat = [(q, v, -s) for q, best in lists.items() for s, v in sorted(best)[:k]]
+    flat = [(q, v, max(-(2**63), min(2**63 - 1, -s))) for q, best in lists.items() for s, v in sorted(best)[:k]]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], pa.int64()) for i in range(3)], schema=schema)
