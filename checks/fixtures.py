@@ -105,10 +105,11 @@ FIXTURES: dict[str, Fixture] = {
     "pg_attribute": Fixture("part", {
         "relid": "100000+p_partkey",
         "attnum": "attnum",
+        "attisdropped": "(attnum=5 and p_partkey%18=0)",
         "attname": "concat('c',cast(attnum as string))",
         "attstorage": "case attnum when 1 then 'p' when 2 then 'x' when 3 then 'e' when 4 then 'm' else 'z' end",
         "atttypid": "cast(attnum%3 as bigint)",
-    }, where="attnum<=4 or p_partkey%9=0", each=("attnum", [1, 2, 3, 4, 5])),
+    }, where="attnum<=4 or p_partkey%9=0", each=("attnum", [-1, 1, 2, 3, 4, 5])),
     "pg_stats": Fixture("part", {
         "relid": "100000+p_partkey",
         "attname": "concat('c',cast(attnum as string))",
@@ -134,7 +135,7 @@ FIXTURES: dict[str, Fixture] = {
         "indrelid": "100000+min(l_partkey)",
         "indexname": "concat('i_',cast(l_orderkey as string),'_',cast(l_linenumber as string))",
         "indkey": "case when min(l_suppkey)%3=0 then concat(cast(1+min(l_suppkey)%4 as string),' ',"
-                  "cast(1+min(l_partkey)%4 as string)) else cast(1+min(l_suppkey)%4 as string) end",
+                  "cast(1+min(l_partkey)%4 as string)) when min(l_suppkey)%13=0 then '0' else cast(1+min(l_suppkey)%4 as string) end",
         "indnatts": "case when min(l_suppkey)%3=0 then 2 else 1 end",
         "indisunique": "(min(l_suppkey)%11=0)",
         "indisprimary": "(min(l_suppkey)%22=0)",

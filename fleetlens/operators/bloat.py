@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import align_pad, ratio, spread_absent, to_whole
 from fleetlens.functions.order import down, up
-from fleetlens.sources.catalog import Catalog
+from fleetlens.sources.catalog import TOAST_SCHEMA, Catalog
 
 # Fixed values of the page layout the estimates assume.
 MAX_ALIGN = 8
@@ -35,7 +35,7 @@ def _table_stats(c: Catalog) -> DataFrame:
     one row per relation. What is missing on either side shows in the counts, so
     no later stage has to look at columns again.
     """
-    columns = c.pick("pg_attribute", relid="relid", attname="attname", attnum="attnum")
+    columns = c.columns().select(*c.on("relid", "attname", "attnum"))
     null_frac, width = F.col("null_frac"), F.col("avg_width")
     bitmap_bytes = F.call_function("div", F.count_if(null_frac != 0), F.lit(8))
     per_relation = (
@@ -232,7 +232,7 @@ def index_bloat(c: Catalog) -> DataFrame:
         index_key_widths(c)
         .withColumnsRenamed({"indexname": "idxname", "idx_scan": "idx_scans"})
         .join(tables, c.on("indrelid"), "inner")
-        .join(c.schemas(), c.on("nsp_oid"), "inner")
+        .join(c.user_schemas(TOAST_SCHEMA), c.on("nsp_oid"), "inner")
     )
     df = c.with_server_info(c.with_setting(df, "block_size", "bigint"), "current_database")
 

@@ -103,11 +103,11 @@ def duplicate_indexes(c: Catalog) -> DataFrame:
 
 
 def index_usage(c: Catalog) -> DataFrame:
-    """Indexes by number of scans, least used first."""
+    """Indexes of user schemas by number of scans, least used first."""
     df = (
         c.table("pg_index")
-        .join(_tables(c), c.on("indrelid"), "left")
-        .join(c.schemas(), c.on("nsp_oid"), "left")
+        .join(_tables(c), c.on("indrelid"), "inner")
+        .join(c.user_schemas(TOAST_SCHEMA), c.on("nsp_oid"), "inner")
         .select(
             *c.keys,
             F.col("nspname").alias("schema"),
@@ -287,9 +287,11 @@ def unused_indexes(c: Catalog) -> DataFrame:
 def high_null_indexes(c: Catalog, min_bytes: int = 10 * MEGABYTE) -> DataFrame:
     """Large plain single-column indexes with the null share of their column.
 
+    The column of an index on an expression is its own first one, with statistics
+    under the index; without them its null share is NULL.
     ``expected_saving`` is what an index on the non-null rows only would save.
     """
-    stats = c.pick("pg_stats", indrelid="relid", attname="attname", frac="null_frac")
+    stats = c.pick("pg_stats", col_relid="relid", attname="attname", frac="null_frac")
     saving = F.col("index_bytes") * F.col("frac")
     df = (
         c.table("pg_index")
@@ -299,13 +301,16 @@ def high_null_indexes(c: Catalog, min_bytes: int = 10 * MEGABYTE) -> DataFrame:
             & (F.size(F.split("indkey", " ")) == 1)
             & (F.col("index_bytes") > min_bytes)
         )
-        .withColumn("attnum", F.col("indkey").cast("int"))
+        .withColumn("expression", F.col("indkey") == "0")
+        .withColumn("attnum", F.when(F.col("expression"), 1).otherwise(F.col("indkey").cast("int")))
+        .withColumn("col_relid", F.when(F.col("expression"), F.col("indexrelid")).otherwise(F.col("indrelid")))
         .join(
-            c.pick("pg_attribute", indrelid="relid", attnum="attnum", attname="attname"),
-            c.on("indrelid", "attnum"),
-            "inner",
+            c.pick("pg_attribute", col_relid="relid", attnum="attnum", attname="attname"),
+            c.on("col_relid", "attnum"),
+            "left",
         )
-        .join(stats, c.on("indrelid", "attname"), "left")
+        .filter("expression or attname is not null")
+        .join(stats, c.on("col_relid", "attname"), "left")
         .select(
             *c.keys,
             F.col("indexrelid").alias("oid"),

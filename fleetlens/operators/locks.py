@@ -288,7 +288,7 @@ def _waits(c: Catalog, locks: DataFrame, hot_rows: int) -> DataFrame:
     return _with_target_text(c, pairs).select(*c.on("pid", "blocker_pid", "lock_target"))
 
 
-def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame) -> DataFrame:
+def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame, limit: int) -> DataFrame:
     """(keys, pid, acquired): the held locks of the sessions involved, as text.
 
     Locks with the most waiters come first. Only the locks that are shown are
@@ -313,14 +313,14 @@ def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame) -> DataFrame:
     order = Window.partitionBy(*c.on("pid")).orderBy(F.col("wait_count").desc_nulls_last(), "entry")
     shown = (
         held.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= LOCKS_SHOWN)
+        .filter(F.col("rank") <= limit)
         .groupBy(*c.on("pid"))
         .agg(F.sort_array(F.collect_list(F.struct("rank", "entry"))).alias("first"))
     )
     sizes = own.groupBy(*c.on("pid")).agg(F.count(F.lit(1)).alias("n"))
     more = F.when(
-        F.col("n") > LOCKS_SHOWN,
-        F.concat(F.lit("... "), (F.col("n") - LOCKS_SHOWN).cast("string"), F.lit(" more ...")),
+        F.col("n") > limit,
+        F.concat(F.lit("... "), (F.col("n") - limit).cast("string"), F.lit(" more ...")),
     )
     entries = F.concat(F.transform("first", lambda x: x["entry"]), F.array(more))
     return shown.join(sizes, c.on("pid"), "inner").select(
@@ -328,12 +328,15 @@ def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame) -> DataFrame:
     )
 
 
-def lock_report(c: Catalog, max_depth: int = REPORT_DEPTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lock_report(
+    c: Catalog, max_depth: int | None = REPORT_DEPTH, hot_rows: int = HOT_ROWS, shown: int = LOCKS_SHOWN
+) -> DataFrame:
     """Blocked sessions as indented trees under the sessions that block them.
 
     ``seq`` sorts a tree in reading order: start of the root's statement, then
     the pids from the root down. A session that is already above in its own
-    branch (a deadlock) does not open another level.
+    branch (a deadlock) does not open another level. ``max_depth=None`` follows
+    every branch to its end; ``shown`` held locks are spelled out, the rest counted.
     """
     locks = _report_locks(c)
     waits = cut_lineage(_waits(c, locks, hot_rows))
@@ -367,7 +370,7 @@ def lock_report(c: Catalog, max_depth: int = REPORT_DEPTH, hot_rows: int = HOT_R
             )
         )
 
-    tree = union_all(walk_levels(seed, step, max_depth + 1))
+    tree = union_all(walk_levels(seed, step, None if max_depth is None else max_depth + 1))
     depth = F.size("seq") - 2
     address = F.concat(
         F.get(F.split("client_addr", "/"), F.lit(0)), F.lit(":"), F.col("client_port").cast("string")
@@ -393,7 +396,7 @@ def lock_report(c: Catalog, max_depth: int = REPORT_DEPTH, hot_rows: int = HOT_R
         " ago",
     )
     df = (
-        tree.join(_acquired(c, locks, waits), c.on("pid"), "left")
+        tree.join(_acquired(c, locks, waits, shown), c.on("pid"), "left")
         .join(
             sessions.select(
                 *c.on("pid", "usename", "datname", "client_addr", "client_port", "query", "query_start", "wait_event", "state")

@@ -60,9 +60,9 @@ def running_queries(c: Catalog) -> DataFrame:
 def long_transactions(c: Catalog, min_age: str = "5 minutes") -> DataFrame:
     """Working sessions whose transaction is older than ``min_age``, oldest first.
 
-    ``min_age`` is an interval in Spark's own words.
+    ``min_age`` is a number and a unit, as ``5 minutes``.
     """
-    limit = c.now - F.expr(f"interval {min_age}")
+    limit = c.now - F.lit(min_age).cast("interval")
     df = (
         c.table("pg_stat_activity")
         .filter(

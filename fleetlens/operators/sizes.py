@@ -124,23 +124,30 @@ def toast_of_relation(c: Catalog, table: str | None = None) -> DataFrame:
 STORAGE_NAMES = {"p": "plain", "x": "extended", "e": "external", "m": "main"}
 
 
-def column_storage(c: Catalog, table: str | None = None) -> DataFrame:
-    """Columns of a table with type and storage strategy, by position."""
+def column_storage(c: Catalog, table: str | None = None, schema: str | None = None) -> DataFrame:
+    """Columns of a table with type and storage strategy, by position.
+
+    The schema tells tables of one name apart.
+    """
     name = F.lit(None).cast("string")
     for code, label in STORAGE_NAMES.items():
         name = F.when(F.col("attstorage") == code, label).otherwise(name)
-    relations = c.pick("pg_class", relid="oid", table_name="relname")
+    relations = c.pick("pg_class", relid="oid", table_name="relname", nsp_oid="relnamespace")
+    relations = relations.join(c.schemas(), c.on("nsp_oid"), "inner")
     if table is not None:
         relations = relations.filter(F.col("table_name") == table)
+    if schema is not None:
+        relations = relations.filter(F.col("nspname") == schema)
     df = (
-        c.table("pg_attribute")
+        c.columns()
         .join(c.pick("pg_type", atttypid="oid", typname="typname"), c.on("atttypid"), "inner")
         .join(relations, c.on("relid"), "inner")
         .select(
-            *c.keys, "table_name", "attnum", "attname", "typname", name.alias("attstorage")
+            *c.keys, F.col("nspname").alias("schema_name"), "table_name", "attnum", "attname", "typname",
+            name.alias("attstorage"),
         )
     )
-    return c.sort(df, up("table_name"), up("attnum"))
+    return c.sort(df, up("schema_name"), up("table_name"), up("attnum"))
 
 
 SEPARATOR = "-" * 30

@@ -31,7 +31,7 @@ BUNDLES: dict[str, list[tuple[str, Report, tuple[str, ...]]]] = {
     "lock": [
         ("lock_wait_queue", locks.lock_wait_queue, ()),
         ("lock_pairs", locks.lock_pairs, ()),
-        ("lock_report", locks.lock_report, ()),
+        ("lock_report", locks.lock_report, ("max_depth", "shown")),
     ],
     "checkpoint": [("checkpoint_stats", server.checkpoint_stats, ())],
     "freeze": [

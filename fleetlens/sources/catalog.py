@@ -22,7 +22,7 @@ class Catalog:
     join, group, window and top-k of a report starts with them, so what is a
     constant or a single row on one server is an ordinary equi join here.
     ``now`` is the instant of the snapshot, never the wall clock. With
-    ``ordered=False`` reports skip their final sort, for jobs that only write.
+    Reports sort their rows only with ``ordered=True``: a written table has no order.
     """
 
     def __init__(
@@ -30,7 +30,7 @@ class Catalog:
         tables: Mapping[str, DataFrame],
         keys: Sequence[str] = tuple(KEYS),
         now: Column | str = "snapshot_ts",
-        ordered: bool = True,
+        ordered: bool = False,
     ) -> None:
         unknown = set(tables) - set(VIEWS)
         if unknown:
@@ -48,7 +48,7 @@ class Catalog:
         root: str,
         since: str | None = None,
         until: str | None = None,
-        ordered: bool = True,
+        ordered: bool = False,
     ) -> Catalog:
         """Landed Parquet snapshots ``root/<view>/snapshot_date=…/``.
 
@@ -116,6 +116,11 @@ class Catalog:
             ~F.col("nspname").isin(*SYSTEM_SCHEMAS, *also_excluded)
         )
 
+    def columns(self) -> DataFrame:
+        """Columns a user can name: no system columns, none that were dropped."""
+        live = ~F.coalesce("attisdropped", F.lit(False))
+        return self.table("pg_attribute").filter((F.col("attnum") > 0) & live)
+
     def schemas(self) -> DataFrame:
         """(keys, nsp_oid, nspname) for every schema."""
         return self.pick("pg_namespace", nsp_oid="oid", nspname="nspname")

@@ -15,7 +15,7 @@ VIEWS: dict[str, str] = {
         total_size bigint""",
     "pg_inherits": "inhrelid bigint, inhparent bigint",
     "pg_partitioned_table": "partrelid bigint, partstrat string, partexprs string",
-    "pg_attribute": """relid bigint, attnum int, attname string, attstorage string,
+    "pg_attribute": """relid bigint, attnum int, attisdropped boolean, attname string, attstorage string,
         atttypid bigint""",
     "pg_type": "oid bigint, typname string",
     "pg_stats": "relid bigint, attname string, null_frac double, avg_width bigint",

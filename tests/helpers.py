@@ -50,7 +50,7 @@ class _Rows(Mapping[str, DataFrame]):
 def small_catalog(spark: SparkSession, keys: tuple[str, ...] = (), **tables: list[dict]) -> Catalog:
     """A catalog of the given rows; unnamed views are empty, or :data:`BASE`."""
     rows = {**{v: [] for v in VIEWS}, **BASE, **tables}
-    return Catalog(_Rows(spark, rows, bool(keys)), keys=keys, now=F.lit(NOW).cast("timestamp"))
+    return Catalog(_Rows(spark, rows, bool(keys)), keys=keys, now=F.lit(NOW).cast("timestamp"), ordered=True)
 
 
 def values(df: DataFrame, *columns: str) -> list:

@@ -110,3 +110,11 @@ def test_sink(spark, tmp_path, fmt):
 def test_show(spark, capsys):
     show(spark.range(1), one_field_per_line=True)
     assert "RECORD 0" in capsys.readouterr().out
+
+
+def test_a_report_written_twice_is_there_once(spark, tmp_path):
+    df = spark.sql("select timestamp '2024-01-01 10:00:00' as snapshot_ts, id from range(3)")
+    for _ in range(2):
+        write(df, f"{tmp_path}/twice")
+    write(df.selectExpr("snapshot_ts + interval 1 day as snapshot_ts", "id"), f"{tmp_path}/twice")
+    assert spark.read.parquet(f"{tmp_path}/twice").count() == 6
