@@ -1,7 +1,14 @@
-"""Repeated passages: paragraphs that are alike in different places lose all but the first."""
+"""Repeated passages: what is alike in different places goes from all but the first.
+
+Two steps: lines that are alike (:func:`repeated_paragraphs`), then, in the texts as
+they stand after it, passages that are equal word for word wherever their lines
+break (:func:`repeated_passages`).
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WordHashes, content_key, keep, line_key, low_bytes, mix, shingles, texts
+from fleetlens.llm.common import WordHashes, as_longs, content_key, keep, line_key, low_bytes, mix, shingles, texts
 from fleetlens.llm.linking import band_hashes, link_contents, pack, tune_bands
 
 MIN_WORDS = 50
@@ -27,7 +34,7 @@ def repeated_paragraphs(
     place of a component (smallest doc_id, then line; a null doc_id comes last)
     stays, every other place goes, also inside one document.
 
-    Shorter lines never go. Null and empty texts have no paragraphs. Repeated rows
+    Shorter lines never go here. Null and empty texts have no paragraphs. Repeated rows
     of a document have the same places and share their fate.
     """
     docs = docs.select("doc_id", "text")
@@ -63,7 +70,12 @@ def repeated_paragraphs(
 
 
 def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with shortened texts, and ``n_removed``, the number of paragraphs taken out.
+    """``docs`` with shortened texts, and ``n_removed``, the number of paragraphs and
+    passages taken out.
+
+    First go the lines of :func:`repeated_paragraphs`, then, from the texts that are
+    left, the passages of :func:`repeated_passages`: so what stays of a passage is
+    looked for where it was not taken out as a line.
 
     All rows and columns stay; ``n_chars``, where there is one, follows a changed
     text. A null text stays null; a text may become empty. If ``docs`` already has
@@ -78,14 +90,176 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
         F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"
     )
     out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
+    out = out.withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"))
+    out = keep(out.drop("__key", "__k", "__d", "__gone"), "shortened")
+
+    spans = repeated_passages(out, settings.get("min_words", MIN_WORDS)).select(
+        F.col("text_key").alias("__k"), F.col("doc_id").alias("__d"), F.col("spans").alias("__spans")
+    )
+    joined = out.withColumn("__key", content_key("text")).join(spans, F.col("__key") == F.col("__k"), "left")
+    found, first = F.col("__k").isNotNull(), F.col("doc_id").eqNullSafe(F.col("__d"))
+    cut = F.udf(_cut, "string", useArrow=True)(F.when(found & first, F.col("text")), F.when(found & first, F.col("__spans")))
+    text = F.when(~found, F.col("text")).when(first, cut).otherwise("")
+    n = F.when(~found, 0).when(first, F.size("__spans")).otherwise(1)
+    out = joined.withColumn("__text", text).withColumn("n_removed", F.col("n_removed") + n)
+    out = out.drop("text").withColumnRenamed("__text", "text")
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*[c for c in docs.columns if c != "n_removed"], "n_removed")
 
 
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(text_key, doc_id, spans)`` of the texts that hold a passage again.
+
+    A passage is a run of ``min_words`` words or more that stands, word for word, at
+    an earlier place too (smaller doc_id, null last; then text; then word). White
+    space, line breaks and case do not count. ``spans`` are the runs to remove, as
+    ``[start, end)`` by word number, from the text of ``doc_id``, the first with
+    this text; every other document with it repeats it as a whole. Where a text
+    repeats itself with an overlap, the first ``min_words`` words stay.
+
+    Of every ``min_words`` words the least hash of a shorter run inside them is an
+    anchor, so equal passages have equal anchors. Windows of ``min_words`` words
+    whose anchor stands twice are compared by digest of all their words; the first
+    place of each stays, and spans are unions of the others. Nothing is paired, so
+    a passage of many documents costs a row per place and word.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    docs = docs.select("doc_id", content_key("text").alias("text_key"), "text")
+    signed = docs.mapInArrow(_anchors(min_words), "doc_id long, text_key binary, anchors array<long>")
+    contents = keep(
+        signed.groupBy("text_key").agg(
+            F.min(place).alias("place"), F.max(place).alias("other"), F.first("anchors").alias("anchors")
+        ).select("text_key", F.col("place.doc_id").alias("doc_id"), (F.col("place") != F.col("other")).alias("copied"), "anchors"),
+        "anchors",
+    )
+    anchors = contents.select("text_key", F.explode("anchors").alias("anchor"))
+    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    wanted = anchors.distinct().join(twice, "anchor").groupBy("text_key").agg(F.collect_list("anchor").alias("anchors"))  # those of one text
+    wanted = wanted.join(contents.select("text_key", "doc_id"), "text_key")
+    text = docs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "text")
+    found = wanted.join(text, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    windows = keep(
+        found.select("doc_id", "text_key", "anchors", "text").mapInArrow(
+            _windows(min_words), "doc_id long, text_key binary, word int, window binary"
+        ),
+        "windows",
+    )
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "word")
+    # A document with two rows is read twice, at the same places.
+    first = windows.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("final")).filter("first <> final")
+    again = windows.join(first.select("window", "first"), "window").filter(at != F.col("first"))
+    own = (F.col("first.text_key") == F.col("text_key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
+    start = F.when(own, F.greatest("word", F.col("first.word") + min_words)).otherwise(F.col("word"))
+    runs = again.select("text_key", F.struct(start.alias("start"), (F.col("word") + min_words).alias("end")).alias("run"))
+    union = F.udf(_union, "array<array<int>>", useArrow=True)
+    spans = runs.groupBy("text_key").agg(F.collect_set("run").alias("runs")).select(  # those of one text
+        "text_key", union(F.col("runs.start"), F.col("runs.end")).alias("spans")
+    )
+    out = contents.select("text_key", "doc_id", "copied").join(spans, "text_key", "left").filter("copied or spans is not null")
+    return out.select("text_key", "doc_id", F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"))
+
+
+def _anchor_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of every window of ``min_words`` words, and where it starts."""
+    size = min_words // 2 + 1
+    runs = shingles(words, size)
+    near = np.lib.stride_tricks.sliding_window_view(runs, min_words - size + 1)
+    at = near.argmin(axis=1) + np.arange(len(near))
+    return runs[at], at
+
+
+def _anchors(min_words: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("anchors", pa.list_(pa.int64()))])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(texts(batch.column("text"))):
+                words = known.of(text)
+                if len(words) < min_words:
+                    continue
+                anchor, at = _anchor_of(words, min_words)
+                new = np.concatenate([[True], at[1:] != at[:-1]])
+                rows.append(i)
+                found.append(as_longs(anchor[new]))
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").cast(pa.int64()).take(pa.array(rows, pa.int64())), batch.column("text_key").take(pa.array(rows, pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(ends), values),
+                ],
+                schema=schema,
+            )
+
+    return sign
+
+
+def _windows(min_words: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("word", pa.int32()), ("window", pa.binary())])
+    part = 1 << 16
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
+            for i, text in enumerate(texts(batch.column("text"))):
+                data = low_bytes(text)
+                anchor, _ = _anchor_of(known.places(data)[0], min_words)
+                words = data.split()
+                ends = np.cumsum([len(w) + 1 for w in words]) - 1
+                plain = memoryview(b" ".join(words))
+                wanted = batch.column("anchors")[i].values.to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(np.isin(as_longs(anchor), wanted))
+                starts = np.concatenate([[0], ends + 1])
+                for k in range(0, len(at), part):
+                    some = at[k : k + part]
+                    bounds = zip(starts[some].tolist(), ends[some + min_words - 1].tolist(), strict=True)
+                    window = [hashlib.md5(plain[a:b]).digest() for a, b in bounds]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[i].as_py()] * len(some), pa.int64()), pa.array([keys[i].as_py()] * len(some), pa.binary()),
+                            pa.array(some, pa.int32()), pa.array(window, pa.binary()),
+                        ],
+                        schema=schema,
+                    )
+
+    return digests
+
+
+def _union(starts: list[int], ends: list[int]) -> list[list[int]]:
+    """Runs that touch or overlap, joined."""
+    out: list[list[int]] = []
+    for start, end in sorted(zip(starts, ends, strict=True)):
+        if start >= end:
+            continue
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def _cut(text: str | None, spans: list[list[int]] | None) -> str | None:
+    """``text`` without the words of ``spans``. Of the white space on both sides of a
+    span that with more line breaks stays, at the ends of the text none."""
+    if text is None or spans is None or not len(spans):
+        return text
+    words = [m.span() for m in re.finditer("[^ \t\n\r\x0b\x0c]+", text)]
+    out, at = [], 0
+    for start, end in spans:
+        left = words[start - 1][1] if start else 0
+        out.append(text[at:left])
+        at = words[end][0] if end < len(words) else len(text)
+        if start and end < len(words):
+            gaps = text[left : words[start][0]], text[words[end - 1][1] : at]
+            out.append(max(gaps, key=lambda gap: gap.count("\n")))
+    return "".join([*out, text[at:]])
+
+
 def min_hashes(sets: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least value of each hash over each run of ``sets`` that begins at ``starts``."""
     out = np.empty((len(starts), len(a)), np.uint64)

@@ -173,6 +173,56 @@ def test_repeated_paragraphs_go_but_the_first(docs, nothing):
     assert out.count() == len(rows) and paragraphs.drop_repeated_paragraphs(nothing).count() == 0
 
 
+def test_passages_go_wherever_their_lines_break(spark):
+    p, q = prose(60, 31).split(), prose(51, 32).split()
+    one, two, three, four, five = (prose(90, 40 + i) for i in range(5))
+    broken = "\n".join(" ".join(p[i : i + 9]) for i in range(0, 60, 9))
+    rows = [
+        (1, f"{one} {' '.join(p)} {two}\n{' '.join(q)}"),
+        (2, f"{three} {' '.join(p).upper()} {four}"),  # in mid-line
+        (3, f"head\n{broken}\ntail"),  # over several short lines
+        (4, f"{' '.join(p[5:40])}\n{' '.join(p[40:60])} {five}"),  # 55 of its words, across a break
+        (5, f"{' '.join(q[:49])}\nother"),  # too short
+        (6, f"{' '.join(q[:25])}\n{' '.join(q[25:])}"), (7, f"{' '.join(q[:25])}\n{' '.join(q[25:])}"),
+        (8, "\n".join(["a line of words that is here again and again"] * 20)), (None, f"x {' '.join(p)}"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in paragraphs.drop_repeated_paragraphs(table).collect()}
+    assert len(got) == len(rows)
+    for i in (1, 5):
+        assert (got[i]["text"], got[i]["n_removed"]) == (rows[i - 1][1], 0)
+    assert (got[2]["text"], got[3]["text"], got[4]["text"], got[6]["text"], got[7]["text"], got[None]["text"]) == (
+        f"{three} {four}", "head\ntail", five, "", "", "x",
+    )
+    assert got[8]["text"].split() == rows[7][1].split()[:50]
+
+
+def test_passages_against_brute_force(spark):
+    r, n = random.Random(77), 12
+    parts = [prose(k, 500 + k).split() for k in (8, 11, 13, 20, 40)]
+    rows = []
+    for i in range(60):
+        words = [w for _ in range(r.randrange(1, 6)) for w in (r.choice(parts)[r.randrange(6) :] if r.random() < 0.6 else prose(9, r.random()).split())]
+        rows.append((i, "".join(w + r.choice(" \n\t") for w in words)))
+    seen, want = {}, {}
+    for i, text in rows:
+        words = text.split()
+        gone = set()
+        for k in range(len(words) - n + 1):
+            first = seen.setdefault(tuple(words[k : k + n]), (i, k))
+            if first != (i, k):
+                gone |= set(range(max(k, first[1] + n) if first[0] == i else k, k + n))
+        want[i] = [w for k, w in enumerate(words) if k not in gone]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = {}
+    for s in paragraphs.repeated_passages(table, n).collect():
+        spans[s["text_key"].hex()] = s
+    for i, text in rows:
+        s = spans.get(hashlib.md5(text.encode()).hexdigest())
+        got = text if s is None else paragraphs._cut(text, s["spans"]) if s["doc_id"] == i else ""
+        assert got.split() == want[i]
+
+
 def test_token_counts_are_the_librarys(docs, nothing, spark):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for r in tokencount.token_counts(docs, MODEL, limit=100).collect():
