@@ -11,24 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import (
-    WordHashes, content_key, keep, mix, shingles, texts,
+    WordHashes, as_longs, content_key, keep, mix, shingles, texts,
 )
 from fleetlens.llm.linking import band_hashes, link_contents, pack, tune_bands
 
 #: Weights are 1 to 2 in steps of 1 / STEPS.
 STEPS = 8
-_PART = 1 << 14  # counters in a row of the frequency table
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``features`` counters hold the hashed document frequencies (of a fixed size
-    at any input; frequent shingles stand out of the rest), ``slots`` rows the
-    random numbers that the sampling shares among shingles."""
+    """``slots`` rows hold the random numbers that the sampling shares among shingles."""
 
     similarity: float = 0.8
     recall: float = 0.998
-    features: int = 1 << 20
     slots: int = 1 << 13
     seed: int = 20
 
@@ -37,7 +33,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """``(doc_id, text_key, class_id, kept)`` for every row of ``docs(doc_id, text)``.
 
     A document is the weighted set of its five-word shingles: frequency in the text
-    times ``1 + ln((N+1)/(df+1)) / ln(N+1)``. Improved consistent weighted sampling
+    times ``1 + ln((N+1)/(df+1)) / ln(N+1)``, rounded to steps of 1 / ``STEPS``; ``df``
+    is counted for every shingle. Improved consistent weighted sampling
     draws 48 samples of it (two sets agree in one with the probability of their
     weighted Jaccard similarity); bands of four bring candidates together;
     candidates are verified by exact weighted Jaccard >= ``similarity``, and
@@ -51,20 +48,26 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     looked at. An empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
-    levels = _levels(docs, settings)
-    bands, rows = tune_bands(settings.similarity, settings.recall)
-    signed = docs.select("doc_id", content_key("text").alias("node"), "text").mapInArrow(
-        _sign(levels, settings, bands, rows), "doc_id long, node binary, bands array<long>"
+    by_text = keep(
+        docs.groupBy(content_key("text").alias("node")).agg(
+            F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("text").alias("text")
+        ),
+        "texts",
     )
-    contents = keep(
-        signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "contents"
+    n = by_text.agg(F.sum("n")).first()[0] or 0
+    rare = int(level_of(np.ones(1), n)[0])
+    common = common_shingles(by_text, n)
+    bands, rows = tune_bands(settings.similarity, settings.recall)
+    signed = by_text.select("node", "doc_id", "text").join(common, "node", "left").mapInArrow(
+        _sign(rare, settings, bands, rows),
+        "node binary, doc_id long, bands array<long>, shingles array<long>, levels array<tinyint>",
     )
+    contents = keep(signed, "contents")
 
     def sets(candidates: DataFrame) -> DataFrame:
-        wanted = contents.select("node", "doc_id").join(candidates, "node", "left_semi")
-        text = docs.select(F.col("doc_id").alias("d"), content_key("text").alias("k"), "text")
-        found = wanted.join(text, (F.col("node") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-        return found.select("node", "text").mapInArrow(_weigh(levels, settings), "node binary, data binary").dropDuplicates(["node"])
+        wanted = contents.select("node", "shingles", "levels").join(candidates, "node", "left_semi")
+        found = wanted.join(by_text.select("node", "text"), "node")
+        return found.mapInArrow(_weigh(rare), "node binary, data binary")
 
     roots = link_contents(contents.select("node", "bands"), sets, settings.similarity, weighted=True)
     placed = contents.select("node", "doc_id").join(roots, "node", "left")
@@ -94,58 +97,67 @@ def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> Da
     ).drop("__key")
 
 
-def _levels(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """The weight level of every feature: one byte each, whatever the input.
+def level_of(df: np.ndarray, n: int) -> np.ndarray:
+    """The weight level of shingles that stand in ``df`` of ``n`` documents."""
+    idf = np.log((n + 1) / (df + 1)) / np.log(max(n, 1) + 1)
+    return np.round(np.clip(idf, 0, 1) * STEPS).astype(np.int8)
 
-    Every task counts the documents of each feature and returns its counters in
-    fixed parts; parts are summed in two rounds, so no group grows with the number
-    of tasks beyond its share.
-    """
-    features = settings.features
-    parts = max(1, features // _PART)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counters, n = WordHashes(), np.zeros(features, np.int64), 0
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                n += 1
-                # A feature that the text has twice is increased once.
-                counters[_feature(shingles(known.of(text)), features)] += 1
-        if n:
-            rows = counters.reshape(parts, -1)
-            yield pa.RecordBatch.from_pydict(
-                {"part": pa.array(range(parts), pa.int32()), "n": pa.array([n] * parts, pa.int64()), "counters": pa.array([r.tobytes() for r in rows], pa.binary())}
-            )
+def least_df(n: int) -> list[int]:
+    """Of each level below that of df = 1, from the highest one: the least df that has it, or a lower one."""
+    out, top = [], int(level_of(np.ones(1), n)[0])
+    for level in range(top - 1, -1, -1):
+        low, high = 1, n + 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if level_of(np.array([middle]), n)[0] <= level else (middle, high)
+        out.append(high)
+    return out
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(features // parts, np.int64)
-        for value in table.column("counters"):
-            total += np.frombuffer(value.as_py(), np.int64)
-        return pa.table(
-            {"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counters": pa.array([total.tobytes()], pa.binary())}
-        )
 
-    schema = "part int, n long, counters binary"
-    counted = docs.select("text").mapInArrow(count, schema)
-    salted = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    summed = salted.groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
-    rows = sorted(summed.collect())  # a fixed number of counters
-    if not rows:
-        return np.zeros(features, np.uint8)
-    n = rows[0]["n"]
-    df = np.concatenate([np.frombuffer(bytes(r["counters"]), np.int64) for r in rows])
-    idf = np.log((n + 1) / (df + 1)) / np.log(n + 1)
-    return np.round(np.clip(idf, 0, 1) * STEPS).astype(np.uint8)
+def common_shingles(by_text: DataFrame, n: int) -> DataFrame:
+    """``(node, shingles, levels)``: the shingles of each text whose level is below that
+    of df = 1, with their levels. ``by_text(node, n, text)`` has a row per distinct
+    text; ``n`` rows in all are its documents.
 
-
-def _feature(hashes: np.ndarray, features: int) -> np.ndarray:
-    return (hashes >> np.uint64(20)) % np.uint64(features)
-
-
-def _weights(hashes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    Frequencies are partial aggregates per shingle; only frequent shingles are joined
+    back, as rarer ones all have one level. The arrays are those of one text.
+    """
+    floors = least_df(n)
+    least = floors[0] if floors else n + 1
+    counted = by_text.select("node", "n", "text").mapInArrow(_distinct, "node binary, n long, shingle long")
+    frequent = counted.groupBy("shingle").agg(F.sum("n").alias("df")).filter(F.col("df") >= least)
+    level = F.lit(int(level_of(np.ones(1), n)[0]))
+    for floor in floors:
+        level = level - (F.col("df") >= floor).cast("int")
+    frequent = keep(frequent.select("shingle", level.cast("tinyint").alias("level")), "frequent")
+    own = counted.select("node", "shingle").join(frequent, "shingle")
+    pairs = own.groupBy("node").agg(F.collect_list(F.struct("shingle", "level")).alias("pairs"))
+    return pairs.select("node", F.col("pairs.shingle").alias("shingles"), F.col("pairs.level").alias("levels"))
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text and shingle that it has."""
+    known = WordHashes()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            found = [np.unique(shingles(known.of(text))) for text in texts(part.column("text"))]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_pydict({
+                "node": part.column("node").take(row), "n": part.column("n").take(row),
+                "shingle": pa.array(as_longs(np.concatenate(found))),
+            })
+
+
+def _weights(hashes: np.ndarray, rare: int, common: pa.Scalar, levels: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles in ascending order, their counts, their weight levels."""
     ids, counts = np.unique(hashes, return_counts=True)
-    return ids, counts, levels[_feature(ids, len(levels))]
+    out = np.full(len(ids), rare, np.int8)
+    if common.is_valid:
+        at = np.searchsorted(ids, common.values.to_numpy().view(np.uint64))
+        out[at] = levels.values.to_numpy()
+    return ids, counts, out
 
 
 def elements(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,37 +221,41 @@ class Sampler:
         return mix(ids[best] + mix(t.view(np.uint64)))
 
 
-def _sign(levels: np.ndarray, settings: Settings, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def _sign(rare: int, settings: Settings, bands: int, rows: int):
+    schema = pa.schema([
+        ("node", pa.binary()), ("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())),
+        ("shingles", pa.list_(pa.int64())), ("levels", pa.list_(pa.int8())),
+    ])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sampler = WordHashes(), Sampler(bands * rows, settings.slots, settings.seed)
         for batch in batches:
             ids, has = [], []
-            for text in texts(batch.column("text")):
+            common, levels = (batch.column(c).cast(schema.field(c).type) for c in ("shingles", "levels"))
+            for i, text in enumerate(texts(batch.column("text"))):
                 words = known.of(text)
                 has.append(len(words) > 0)
                 if has[-1]:
-                    ids.append(sampler.sample(*_weights(shingles(words), levels)))
+                    ids.append(sampler.sample(*_weights(shingles(words), rare, common[i], levels[i])))
             hashes = band_hashes(np.array(ids, np.uint64).reshape(len(ids), bands * rows), bands, rows)
             ends = np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("node"), lists], schema=schema
+                [batch.column("node"), batch.column("doc_id").cast(pa.int64()), lists, common, levels], schema=schema
             )
 
     return sign
 
 
-def _weigh(levels: np.ndarray, settings: Settings):
+def _weigh(rare: int):
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             data = []
-            for text in texts(batch.column("text")):
-                ids, counts, level = _weights(shingles(known.of(text)), levels)
+            for i, text in enumerate(texts(batch.column("text"))):
+                common, levels = batch.column("shingles")[i], batch.column("levels")[i]
+                ids, counts, level = _weights(shingles(known.of(text)), rare, common, levels)
                 data.append(pack(*elements(ids, counts, 1 + level / STEPS)))
             yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "data": pa.array(data, pa.binary())})
 
     return weigh
-

@@ -131,6 +131,24 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {frozenset(g) for g in got.values()} == set(exact_classes(rows))
 
 
+def test_document_frequencies_are_those_of_shingles(spark):
+    shared = prose(40, 60)
+    rows = [(f"{i:016d}".encode(), 1 + i % 2, f"{shared if i % 3 else ''} {prose(9000, 700 + i)}") for i in range(150)]
+    n = sum(r[1] for r in rows)
+    sets = [np.unique(shingles(WordHashes().of(r[2]))) for r in rows]
+    ids, at = np.unique(np.concatenate(sets), return_inverse=True)
+    assert len(ids) > 1 << 20
+    df = np.bincount(at, np.repeat([r[1] for r in rows], [len(x) for x in sets]))
+    level = np.round(8 * np.log((n + 1) / (df + 1)) / np.log(n + 1))
+    rare = minhash.level_of(np.ones(1), n)[0]
+    table = spark.createDataFrame(rows, "node binary, n long, text string").repartition(4)
+    got = {bytes(r["node"]): r for r in minhash.common_shingles(table, n).collect()}
+    for (node, _, _), own in zip(rows, sets, strict=True):
+        found = dict(zip(got[node]["shingles"], got[node]["levels"], strict=True)) if node in got else {}
+        want = level[np.searchsorted(ids, own)]
+        assert [found.get(x, rare) for x in own.view(np.int64).tolist()] == want.tolist()
+
+
 def test_weighted_sampling_agrees_with_weighted_jaccard():
     sampler, r = minhash.Sampler(4000, 1 << 10, 1), np.random.Generator(np.random.PCG64(2))
     ids = np.sort(r.integers(0, 2**63, 60, np.uint64))
