@@ -29,6 +29,7 @@ NEGATIONS = "not never no isn't aren't wasn't nicht nie kein keine ne pas jamais
 REPORTS = "said says say claims claimed called quoted wrote sagte sagt behauptete dit écrit dijo dice escribió".split()
 
 _CLAUSE_END = ".!?;:,\n"
+_END = re.compile(r"[.!?;:,\n]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
@@ -142,8 +143,8 @@ class Grammar:
                 continue
             start = 1 + max(low.rfind(c, end, match.start()) for c in _CLAUSE_END)
             start = max(start, end)
-            ends = [p for c in _CLAUSE_END if (p := low.find(c, match.end(), match.end() + 2000)) >= 0]
-            end = min(ends, default=min(len(low), match.end() + 2000))
+            mark = _END.search(low, match.end())
+            end = mark.start() if mark else len(low)
             clauses += 1
             for k, v in self.clause(low[start:end]).items():
                 sums[k] += v

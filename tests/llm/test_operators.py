@@ -342,6 +342,19 @@ def test_toxicity_learns_patterns_and_reads_clauses(spark, docs, nothing):
     assert toxicity.score_toxicity(nothing, untrained).count() == 0
 
 
+def test_clauses_of_any_length_are_read_as_one():
+    grammar = toxicity.Grammar(toxicity.Model({"idiot": 3.0}, {}, toxicity.UNTRAINED))
+    at = {f: i for i, f in enumerate(toxicity.FEATURES)}
+    far = "word " * 900
+    x = grammar.features(f"fine. idiot {far} idiot {far} you. idiot")
+    assert x[at["targeted"]] == pytest.approx(math.log1p(6)) and x[at["plain"]] == pytest.approx(math.log1p(3))
+    assert x[at["clauses"]] == pytest.approx(math.log1p(2))
+    x = grammar.features(f"said idiot {far} idiot")
+    assert x[at["reported"]] == pytest.approx(math.log1p(6)) and x[at["plain"]] == 0
+    x = grammar.features("idiot".ljust(1999, "x") + "y " + "a" * 1990 + " idiot")
+    assert x[at["clauses"]] == pytest.approx(math.log1p(1))
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, v string, ids string, q string"
 
 
