@@ -37,7 +37,7 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple[str, ...], float], total:
     the root, 1 where nothing is said). A child cannot take more than its leaves
     hold in ``max_epochs`` epochs; what it leaves is shared among its siblings by
     weight, and only what no sibling can take goes to the siblings of the parent.
-    As a parent is never given more than all below it holds, filling each level
+    As a parent is never given more than all below it that has a weight holds, filling each level
     from the top does just that.
     """
     spark = leaves.sparkSession
@@ -45,13 +45,18 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple[str, ...], float], total:
     for depth, level in enumerate(LEVELS, 1):
         path = list(LEVELS[:depth])
         rows = [(*p, float(w)) for p, w in weights.items() if len(p) == depth]
-        table = table.withColumn(f"cap_{level}", F.sum("cap").over(Window.partitionBy(*path)))
         if rows:
             given = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in [*path]) + f", w_{level} double")
             table = table.join(F.broadcast(given), path, "left")  # the caller's own list
         else:
             table = table.withColumn(f"w_{level}", F.lit(None).cast("double"))
         table = table.withColumn(f"w_{level}", F.coalesce(f"w_{level}", F.lit(1.0)))
+    # What lies under a weight of 0 gets nothing, so its parents do not hold it.
+    held = F.col("cap")
+    for depth in range(len(LEVELS), 0, -1):
+        level = LEVELS[depth - 1]
+        table = table.withColumn(f"cap_{level}", F.sum(held).over(Window.partitionBy(*LEVELS[:depth])))
+        held = F.when(F.col(f"w_{level}") > 0, held).otherwise(0.0)
     table = table.withColumn("budget", total)
     for depth, level in enumerate(LEVELS, 1):
         nodes = table.groupBy(*LEVELS[:depth]).agg(

@@ -315,6 +315,14 @@ def test_mixing_against_brute_force(docs, nothing, spark):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_spends_what_a_weight_of_zero_leaves(spark):
+    leaves = [("A", "en", "x", 1000), ("A", "fr", "y", 100), ("A", "fr", "v", 50), ("B", "en", "z", 1000)]
+    table = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    weights = {("A", "en"): 0.0, ("A", "fr", "v"): 0.0}
+    got = {r["source"]: r["budget"] for r in mixing.budgets(table, weights, F.lit(600.0), 1).collect()}
+    assert got == pytest.approx({"x": 0, "v": 0, "y": 100, "z": 500})
+
+
 def test_toxicity_learns_patterns_and_reads_clauses(spark, docs, nothing):
     r = random.Random(1)
     rows, labels = [], []
