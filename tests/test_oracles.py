@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB twin."""
+"""Every report against its DuckDB twin."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import connect, difference
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 from tests.conftest import SF
 
 
@@ -14,13 +16,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    assert difference(queries()[name](spark, SF), con, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
-def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+def test_every_report_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
