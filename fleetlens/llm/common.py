@@ -146,3 +146,35 @@ def as_longs(x: np.ndarray) -> np.ndarray:
 
 def no_rows(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+
+
+#: A-Z in lower case; 0-9, a-z and the bytes of everything beyond ASCII as they are; the rest a space.
+WORD_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
+#: A longer word is stood for by its digest.
+LONG_WORD = 64
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words as UTF-8: runs of letters, digits and all that is not ASCII, only A-Z lower-cased.
+
+    A word over ``LONG_WORD`` bytes is ``#`` and its SHA-256, so that a word takes
+    bounded room; ``#`` stands in no word."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+    if words and max(map(len, words)) > LONG_WORD:
+        words = [w if len(w) <= LONG_WORD else b"#" + hashlib.sha256(w).digest() for w in words]
+    return words
+
+
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of :func:`words_of` start and end in ``text``, in code points."""
+    data = text.encode("utf-8", "surrogatepass")
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = np.frombuffer(data.translate(WORD_BYTES), np.uint8) != 32
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if len(data) == len(text):
+        return starts, ends
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+    return points[starts], points[ends]
