@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.fixtures import FIXTURES, catalog
+from checks.fixtures import FIXTURES, NOW, SETTINGS, catalog
+from fleetlens import Catalog
 from fleetlens.operators import (
-    access, bloat, indexes, locks, partitions, replication, server, sessions, sizes, transactions,
-    vacuum,
+    access, bloat, indexes, locks, partitions, replication, server, sessions, sizes, statistics,
+    transactions, vacuum,
 )
 from fleetlens.plans.levels import ensure_checkpoint_dir
 from fleetlens.streaming.progress import progress_watch
@@ -65,6 +66,48 @@ def _profile(table: str) -> Query:
     return run
 
 
+def _statistics(table: str) -> Query:
+    """Sketched statistics beside exact distinct counts: exact where they are exact, and
+    ``distinct_ok`` where the sketch is within four standard errors."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        exact = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).select(
+            F.inline(F.array(*[F.struct(F.lit(c).alias("attname"), F.col(c).alias("exact")) for c in df.columns]))
+        )
+        counted = F.transform(
+            F.arrays_zip("common_vals", "common_freqs"),
+            lambda x: F.concat_ws(":", x["common_vals"], F.round(x["common_freqs"] * F.col("n_rows")).cast("long").cast("string")),
+        )
+        whole = F.col("type").isin("bigint", "int", "timestamp_ntz", "timestamp", "date")
+        off = F.abs(F.col("n_distinct") - F.col("exact"))
+        return plain(
+            statistics.column_statistics(df).join(exact, "attname").select(
+                "attnum", "attname", "n_rows", "null_frac", "avg_width", F.col("exact").alias("n_distinct"),
+                (off <= F.ceil(4 * statistics.DISTINCT_ERROR * F.col("exact"))).alias("distinct_ok"),
+                F.when(whole, F.get("histogram_bounds", F.lit(0))).alias("lowest"),
+                F.when(whole, F.element_at("histogram_bounds", -1)).alias("highest"),
+                F.when(F.col("exact") <= 10, F.array_join(counted, ",")).alias("common"),
+            )
+        )
+
+    return run
+
+
+#: Tables whose space is estimated from their own rows, and the rows a page of each holds.
+MEASURED = {"orders": 20, "lineitem": 12, "documents": 2, "part": 90, "customer": 400}
+
+
+def _measured_bloat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bloat of plain tables, from statistics measured on them."""
+    tables = {t: (spark.read.parquet(f"{sf_dir}/{t}.parquet"), F.ceil(F.col("n_rows") / n)) for t, n in MEASURED.items()}
+    views = statistics.measured_views(tables)
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in SETTINGS.items())
+    views["settings"] = spark.sql(f"select * from values {rows} as t(name, setting)")
+    views["server_info"] = spark.sql("select 'db0' as current_database")
+    return plain(bloat.bloat_estimates(Catalog(views, keys=(), now=F.lit(NOW).cast("timestamp"))))
+
+
 def _standby(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(
         replication.standby_state(
@@ -85,6 +128,10 @@ QUERIES: dict[str, Query] = {
     "r06_toast_of_relation": _report(sizes.toast_of_relation),
     "r07_table_profile_orders": _profile("orders"),
     "r07_table_profile_documents": _profile("documents"),
+    "r07_column_statistics_orders": _statistics("orders"),
+    "r07_column_statistics_lineitem": _statistics("lineitem"),
+    "r07_column_statistics_documents": _statistics("documents"),
+    "r08_bloat_of_measured_tables": _measured_bloat,
     "r08_tables_without_stats": _report(bloat.tables_without_stats),
     "r08_row_shapes": _report(bloat.row_shapes),
     "r08_bloat_estimates": _report(bloat.bloat_estimates),
