@@ -16,6 +16,7 @@ from fleetlens.operators import (
     transactions, vacuum,
 )
 from fleetlens.plans.levels import ensure_checkpoint_dir
+from fleetlens.streaming.follow import follow_progress
 from fleetlens.streaming.progress import progress_watch
 from fleetlens.streaming.run import snapshot_stream, write_stream
 from fleetlens.streaming.wal import wal_hourly_watch
@@ -211,6 +212,17 @@ def as_progress(events: DataFrame) -> DataFrame:
     )
 
 
+def as_polls(events: DataFrame) -> DataFrame:
+    """Events as polls of commands that stand still now and then."""
+    return events.select(
+        F.col("ts").alias("snapshot_ts"),
+        F.col("user_id").alias("pid"),
+        F.when(F.col("event_type").isin("view", "click", "error"), "scanning").otherwise("vacuuming").alias("phase"),
+        F.expr("cast(floor(value / 20) as bigint)").alias("heap_blks_scanned"),
+        (F.col("event_id") * 2 + 100).alias("heap_blks_total"),
+    )
+
+
 def as_wal_files(events: DataFrame) -> DataFrame:
     return FIXTURES["wal_files"].frame(events)
 
@@ -229,3 +241,6 @@ QUERIES["st1_progress_watch"] = _run_stream(
     progress_watch, as_progress, window="6 hours", delay="10 minutes"
 )
 QUERIES["st2_wal_hourly_watch"] = _run_stream(wal_hourly_watch, as_wal_files)
+QUERIES["st1_progress_follow"] = _run_stream(
+    follow_progress, as_polls, last=5, stall_after="4 hours", expire_after="20 hours", delay="10 minutes"
+)
