@@ -210,6 +210,21 @@ FIXTURES: dict[str, Fixture] = {
         "locktype": "'relation'",
         "mode": "case when held=1 then 'AccessExclusiveLock' else 'RowExclusiveLock' end",
     }, where="held=1 or c_custkey>=7", each=("held", [1, 0])),
+    # Groups of six sessions: rings, chains, and rings with a way into another ring.
+    "locks_ring": Fixture("customer", {
+        "pid": "1+c_custkey",
+        "relation": "case held when 1 then 1+c_custkey when 0 then 1+c_custkey-c_custkey%6+(c_custkey+1)%6"
+                    " else c_custkey-11 end",
+        "granted": "(held=1)",
+        "locktype": "'relation'",
+        "mode": "case when held=1 then 'AccessExclusiveLock' else 'RowExclusiveLock' end",
+    }, where="held=1 or (held=0 and not (cast(floor(c_custkey/6.0) as bigint)%3=1 and c_custkey%6=5))"
+             " or (held=2 and cast(floor(c_custkey/6.0) as bigint)%3=2 and c_custkey%6=0)", each=("held", [1, 0, 2])),
+    # Chains of a hundred roles.
+    "role_chains": Fixture("customer", {
+        "member": "16385+c_custkey",
+        "roleid": "16385+c_custkey-1",
+    }, where="c_custkey%100>0"),
     "locks_dense": Fixture("lineitem", {
         "pid": "l_orderkey",
         "locktype": "case when l_linenumber%2=0 then 'tuple' else 'relation' end",

@@ -140,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "r09_index_key_widths": _report(bloat.index_key_widths),
     "r09_index_bloat": _report(bloat.index_bloat),
     "r10_duplicate_indexes": _report(indexes.duplicate_indexes),
+    "r10_contained_indexes": _report(indexes.contained_indexes),
     "r11_index_usage": _report(indexes.index_usage),
     "r12_index_state": _report(indexes.index_state),
     "r12_index_state_of_schema": _report(indexes.index_state, schema="public", keep_unindexed=True),
@@ -150,8 +151,13 @@ QUERIES: dict[str, Query] = {
     "r16_index_build_progress": _report(indexes.index_build_progress),
     "r17_lock_pairs": _report(locks.lock_pairs),
     "r17_lock_pairs_granted": _report(locks.lock_pairs, require_granted=True),
+    "r17_lock_classes": _report(locks.lock_classes),
+    "r17_lock_classes_granted": _report(locks.lock_classes, require_granted=True),
+    "r17_class_pairs": _report(lambda c: locks.class_pairs(c, locks.lock_classes(c).filter("n_pairs > 0"))),
+    "r17_top_blockers": _report(locks.top_blockers),
     "r18_lock_report": _report(locks.lock_report),
     "r19_lock_wait_queue": _report(locks.lock_wait_queue, views={"pg_locks": "locks_chain"}),
+    "r19_deadlocks": _report(locks.deadlocks, views={"pg_locks": "locks_ring"}),
     "r20_lock_tree": _report(locks.lock_tree, views={"pg_locks": "locks_chain"}),
     "r21_connection_summary": _report(sessions.connection_summary),
     "r22_running_queries": _report(sessions.running_queries),
@@ -178,10 +184,14 @@ QUERIES: dict[str, Query] = {
     "r41_standby_state": _standby,
     "r42_objects_owned_by": _report(access.objects_owned_by),
     "r43_role_paths": _report(access.role_paths),
+    "r43_role_memberships": _report(access.role_memberships),
+    "r43_role_memberships_of_chains": _report(access.role_memberships, views={"pg_auth_members": "role_chains"}),
     "r44_effective_privileges": _report(access.effective_privileges),
     "r45_view_dependencies": _report(access.view_dependencies),
     "r46_partition_tree": _report(partitions.partition_tree),
+    "r46_partition_tree_to_depth": _report(partitions.partition_tree, depth=2),
     "r47_inherit_children": _report(partitions.inherit_children),
+    "r48_partition_totals": _report(partitions.partition_totals),
     "r48_partition_sizes": _report(partitions.partition_sizes),
     "r48_partition_sizes_of_database": _report(partitions.partition_sizes, database="nation_3"),
 }

@@ -9,6 +9,7 @@ from fleetlens.functions.numbers import percent, ratio, to_whole
 from fleetlens.functions.order import down, up
 from fleetlens.functions.text import human_bytes, progress_text
 from fleetlens.functions.times import seconds_between
+from fleetlens.plans.containment import contained_in
 from fleetlens.sources.catalog import TOAST_SCHEMA, Catalog
 
 MEGABYTE = 1 << 20
@@ -102,6 +103,47 @@ def duplicate_indexes(c: Catalog) -> DataFrame:
     return c.sort(df, down("total_bytes"), up("table"), up("idx1"))
 
 
+def contained_indexes(c: Catalog) -> DataFrame:
+    """Btree indexes whose key columns are all in the key of another index of the table.
+
+    The other index has to cover the whole table, so it has no predicate. Of two indexes over the same
+    columns the younger one is listed. Keys that hold an expression cannot be compared
+    by position and are left out.
+    """
+    keys = (
+        c.table("pg_index")
+        .filter((F.lower("amname") == "btree") & F.col("indrelid").isNotNull())
+        .select(
+            *c.on("indrelid", "indexrelid", "indexname", "index_bytes", "indisunique", "indpred"),
+            F.split("indkey", " ").cast("array<int>").alias("items"),
+        )
+        .filter(~F.array_contains("items", 0))
+    )
+    left = keys.select(*c.on("indrelid"), F.col("indexrelid").alias("left_id"), F.col("items").alias("left_items"))
+    right = keys.filter("indpred is null").select(
+        *c.on("indrelid"), F.col("indexrelid").alias("right_id"), F.col("items").alias("right_items")
+    )
+    of = lambda side: keys.select(
+        *c.keys, F.col("indexrelid").alias(f"{side}_id"), F.col("indexname").alias(f"{side}_name"),
+        F.size(F.array_distinct("items")).alias(f"{side}_size"), F.col("index_bytes").alias(f"{side}_bytes"),
+        F.col("indisunique").alias(f"{side}_unique"),
+    )
+    df = (
+        contained_in(left, right, c.on("indrelid"))
+        .filter("left_id <> right_id")
+        .join(of("left"), c.on("left_id")).join(of("right"), c.on("right_id"))
+        .filter("left_size < right_size or left_id > right_id")
+        .join(_tables(c), c.on("indrelid"), "inner")
+        .join(c.user_schemas(TOAST_SCHEMA), c.on("nsp_oid"), "inner")
+        .select(
+            *c.keys, F.col("nspname").alias("schema"), "table", F.col("left_name").alias("index"),
+            F.col("left_unique").alias("indisunique"), F.col("left_bytes").alias("index_bytes"),
+            F.col("right_name").alias("contained_in"), (F.col("left_size") == F.col("right_size")).alias("same_columns"),
+        )
+    )
+    return c.sort(df, down("index_bytes"), up("index"), up("contained_in"))
+
+
 def index_usage(c: Catalog) -> DataFrame:
     """Indexes of user schemas by number of scans, least used first."""
     df = (

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import spread_absent, to_whole
-from fleetlens.functions.order import up
+from fleetlens.functions.order import down, up
 from fleetlens.functions.text import concat_skip_null, span_text
 from fleetlens.functions.times import exact_seconds_between, seconds_between
+from fleetlens.plans.graphs import strong_components
 from fleetlens.plans.levels import cut_lineage, union_all, walk_levels
 from fleetlens.plans.skew import HOT_ROWS, grid_join
 from fleetlens.sources.catalog import Catalog
@@ -120,6 +124,24 @@ def _cyclic_core(edges: DataFrame, c: Catalog) -> tuple[DataFrame, bool]:
         size = left
 
 
+def _wait_edges(c: Catalog, hot_rows: int) -> DataFrame:
+    """(keys, waiter, holder) of sessions at one lock target, each pair once."""
+    locks = c.table("pg_locks")
+    waiting = locks.filter(~F.col("granted")).select(*c.on(*TARGET), F.col("pid").alias("waiter"))
+    holding = (
+        locks.filter("granted")
+        .select(*c.on(*TARGET), "pid")
+        .join(c.table("pg_stat_activity").select(*c.on("pid")), c.on("pid"), "left_semi")
+        .select(*c.on(*TARGET), F.col("pid").alias("holder"))
+    )
+    return cut_lineage(
+        grid_join(waiting, holding, c.on(*TARGET), "waiter", "holder", hot_rows)
+        .select(*c.on("waiter", "holder"))
+        .filter(F.col("waiter") != F.col("holder"))
+        .distinct()
+    )
+
+
 def lock_wait_queue(
     c: Catalog, max_depth: int | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -135,20 +157,7 @@ def lock_wait_queue(
     is the real end of the chain. With ``max_depth`` longer chains are reported
     as the pieces of that depth.
     """
-    locks = c.table("pg_locks")
-    waiting = locks.filter(~F.col("granted")).select(*c.on(*TARGET), F.col("pid").alias("waiter"))
-    holding = (
-        locks.filter("granted")
-        .select(*c.on(*TARGET), "pid")
-        .join(c.table("pg_stat_activity").select(*c.on("pid")), c.on("pid"), "left_semi")
-        .select(*c.on(*TARGET), F.col("pid").alias("holder"))
-    )
-    edges = cut_lineage(
-        grid_join(waiting, holding, c.on(*TARGET), "waiter", "holder", hot_rows)
-        .select(*c.on("waiter", "holder"))
-        .filter(F.col("waiter") != F.col("holder"))
-        .distinct()
-    )
+    edges = _wait_edges(c, hot_rows)
     core, has_cycles = _cyclic_core(edges, c)
     also_waiting = edges.select(*c.keys, F.col("waiter").alias("holder")).distinct()
     last_steps = edges.join(also_waiting, c.on("holder"), "left_anti")
@@ -193,6 +202,115 @@ def lock_wait_queue(
     return c.sort(df, up("root_holder"), up("path"))
 
 
+# ---------------------------------------------------------------- deadlocks
+
+
+def deadlocks(c: Catalog, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Who waits for whom inside each deadlock, one row per wait.
+
+    A deadlock is a set of sessions that all wait for each other, directly or through
+    others: a strong component of the waits, named after its smallest pid. Sessions
+    that only wait for a deadlock, or for one of several from another, are in none.
+    Statements and users are joined to the finished rows.
+    """
+    edges = _wait_edges(c, hot_rows)
+    parts = cut_lineage(
+        strong_components(edges.select(*c.keys, F.col("waiter").alias("a"), F.col("holder").alias("b")), c.keys)
+    )
+    sizes = parts.groupBy(*c.on("component")).agg(F.count("*").alias("sessions"))
+    inside = (
+        edges.join(parts.withColumnRenamed("node", "waiter"), c.on("waiter"))
+        .join(parts.withColumnsRenamed({"node": "holder", "component": "other"}), c.on("holder"))
+        .filter("component = other")
+        .join(sizes, c.on("component"))
+    )
+    session = c.table("pg_stat_activity").select(
+        *c.keys, F.col("pid").alias("waiter"), F.col("usename").alias("waiter_user"),
+        seconds_between(F.col("query_start"), c.now).alias("waiter_duration"), F.col("query").alias("waiter_statement"),
+    )
+    df = inside.join(session, c.on("waiter"), "left").select(
+        *c.keys, F.col("component").alias("deadlock"), "sessions", "waiter", "holder", "waiter_user", "waiter_duration",
+        "waiter_statement",
+    )
+    return c.sort(df, up("deadlock"), up("waiter"), up("holder"))
+
+
+# ------------------------------------------------------------- lock classes
+
+
+def _at_targets(c: Catalog, require_granted: bool) -> DataFrame:
+    """(keys, target columns, pid, waits, blocks): what each session has at each lock
+    target, how often it waits there and how often it stands in the way of others."""
+    known = c.table("pg_stat_activity").select(*c.on("pid")).distinct()
+    waits = F.count_if(~F.col("granted"))
+    blocks = F.count_if(F.col("granted")) if require_granted else F.count(F.lit(1))
+    return (
+        c.table("pg_locks").filter(F.col("locktype").isNotNull())
+        .groupBy(*c.on(*TARGET, "pid")).agg(waits.alias("waits"), blocks.alias("blocks"))
+        .join(known, c.on("pid"), "left_semi")
+    )
+
+
+def lock_classes(c: Catalog, require_granted: bool = False) -> DataFrame:
+    """R17 without its pairs: per lock target the class of those who wait and the class
+    of those in their way, and the number of pairs the two make.
+
+    A pair of R17 is a waiter and another session of one target, so pairs per target
+    are the product of the classes less what a session would pair with itself. Work and
+    result are linear in the locks, where the pairs grow with the square of a busy target.
+    :func:`class_pairs` expands the targets asked for. Sessions unknown to the activity view
+    are left out, as in the pairs.
+    """
+    own = F.col("waits") * F.col("blocks")
+    df = (
+        _at_targets(c, require_granted).groupBy(*c.on(*TARGET))
+        .agg(
+            F.sum("waits").alias("n_waits"), F.count_if(F.col("waits") > 0).alias("n_waiters"), F.sum("blocks").alias("n_blocks"),
+            F.count_if(F.col("blocks") > 0).alias("n_blockers"), F.sum(own).alias("own"),
+        )
+        .filter("n_waits > 0")
+        .withColumn("n_pairs", F.col("n_waits") * F.col("n_blocks") - F.col("own")).drop("own")
+    )
+    return c.sort(df, down("n_pairs"), *[up(t) for t in TARGET])
+
+
+def _same_target(targets: DataFrame, on: list[str], *carried: str) -> tuple[DataFrame, Column]:
+    """Distinct targets under other names, and the condition that a row is at one of them."""
+    other = targets.select(*[F.col(x).alias(f"at_{x}") for x in on], *carried).distinct()
+    return other, reduce(and_, [F.col(x).eqNullSafe(F.col(f"at_{x}")) for x in on])
+
+
+def class_pairs(c: Catalog, targets: DataFrame, require_granted: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(keys, blocked_pid, blocking_pid) of the given rows of :func:`lock_classes`, as often as R17 has each."""
+    on = c.on(*TARGET)
+    here = _at_targets(c, require_granted).join(*_same_target(targets, on), "left_semi")
+    blocked = here.filter("waits > 0").select(*on, F.col("pid").alias("blocked_pid"), F.col("waits").alias("m"))
+    blocking = here.filter("blocks > 0").select(*on, F.col("pid").alias("blocking_pid"), F.col("blocks").alias("n"))
+    pairs = grid_join(blocked, blocking, on, "blocked_pid", "blocking_pid", hot_rows).filter("blocked_pid <> blocking_pid")
+    times = F.explode(F.sequence(F.lit(1), F.col("m") * F.col("n")))
+    return pairs.select(*c.on("blocked_pid", "blocking_pid"), times.alias("time")).drop("time")
+
+
+def top_blockers(c: Catalog, require_granted: bool = False) -> DataFrame:
+    """Sessions by the number of R17's pairs they block and wait in, from the classes alone."""
+    here = _at_targets(c, require_granted)
+    on = c.on(*TARGET)
+    total = here.groupBy(*on).agg(F.sum("waits").alias("all_waits"), F.sum("blocks").alias("all_blocks"))
+    df = (
+        here.join(*_same_target(total, on, "all_waits", "all_blocks"))
+        .select(
+            *c.on("pid"),
+            (F.col("blocks") * (F.col("all_waits") - F.col("waits"))).alias("blocks"),
+            (F.col("waits") * (F.col("all_blocks") - F.col("blocks"))).alias("waits"),
+        )
+        .groupBy(*c.on("pid")).agg(F.sum("blocks").alias("n_blocked"), F.sum("waits").alias("n_waiting_for"))
+        .filter("n_blocked > 0 or n_waiting_for > 0")
+        .join(c.pick("pg_stat_activity", pid="pid", usename="usename", state="state"), c.on("pid"), "left")
+        .select(*c.on("pid", "usename", "state", "n_blocked", "n_waiting_for"))
+    )
+    return c.sort(df, down("n_blocked"), up("pid"))
+
+
 # --------------------------------------------------------------- lock report
 
 #: Held locks of a session that are written out; the rest is a number.

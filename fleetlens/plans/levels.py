@@ -9,6 +9,7 @@ ends with the first empty level.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -36,6 +37,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_rows(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and read it back.
+
+    For loops that join their own results: a checkpointed table keeps the planner's
+    guess of its size, a product of the sides of its joins, so that the number
+    doubles its digits in every round; a written table has its real size. The
+    files stay, as ``rows-*``, until the owner of the folder clears them.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def walk_levels(
     seed: DataFrame,
     step: Callable[[DataFrame, int], DataFrame],
