@@ -89,6 +89,7 @@ FIXTURES: dict[str, Fixture] = {
         "relopts": "case when p_partkey%7=0 then"
                    " 'autovacuum_vacuum_threshold=500autovacuum_vacuum_scale_factor=0.05'"
                    " when p_partkey%7=1 then 'autovacuum_enabled=off' else null end",
+        "relpartbound": "case when p_partkey%10=5 then concat('FOR VALUES IN (',cast(p_partkey as string),')') else null end",
         "relation_size": "cast(p_size*40*8192 as bigint)",
         "indexes_size": "(p_partkey%13)*81920",
         "table_size": "cast(p_size*40*8192+p_partkey%3*8192 as bigint)",
@@ -101,6 +102,7 @@ FIXTURES: dict[str, Fixture] = {
     "pg_partitioned_table": Fixture("part", {
         "partrelid": "100000+p_partkey",
         "partstrat": "case when p_partkey%30=0 then 'l' when p_partkey%30=10 then 'r' else 'h' end",
+        "partexprs": "case when p_partkey%20=0 then 'lower(name)' else null end",
     }, where="p_partkey%10=0"),
     "pg_attribute": Fixture("part", {
         "relid": "100000+p_partkey",
@@ -139,6 +141,8 @@ FIXTURES: dict[str, Fixture] = {
         "indnatts": "case when min(l_suppkey)%3=0 then 2 else 1 end",
         "indisunique": "(min(l_suppkey)%11=0)",
         "indisprimary": "(min(l_suppkey)%22=0)",
+        "indclass": "case when min(l_suppkey)%5=0 then '1978' else '1979' end",
+        "indexprs": "case when min(l_suppkey)%13=0 and min(l_suppkey)%3<>0 then concat('lower(c',cast(1+min(l_partkey)%2 as string),')') else null end",
         "indpred": "case when min(l_suppkey)%7=0 then 'x > 0' else null end",
         "amname": "case when min(l_suppkey)%9=0 then 'gin' else 'btree' end",
         "idx_scan": "cast((l_orderkey*l_linenumber)%50 as bigint)",
@@ -171,11 +175,23 @@ FIXTURES: dict[str, Fixture] = {
         "datname": "case when c_nationkey%12=0 then concat('template',cast(c_nationkey as string))"
                    " else concat('nation_',cast(c_nationkey as string)) end",
         "blks_hit": "case when c_nationkey%10=3 then 0 else cast(sum(c_custkey) as bigint) end",
-        "blks_read": "case when c_nationkey%10=3 then 0 else count(*) end",
+        "blks_read": "case when c_nationkey%10=3 then 0 else cast(sum(c_custkey%(2+c_nationkey*90)) as bigint) end",
         "xact_commit": "cast(sum(c_custkey%97)+1 as bigint)",
         "xact_rollback": "cast(sum(c_custkey%5) as bigint)",
         "temp_bytes": "cast(sum(c_custkey*1000) as bigint)",
         "deadlocks": "cast(sum(c_custkey%2) as bigint)",
+        "conflicts": "cast(sum(c_custkey%3) as bigint)",
+        "temp_files": "cast(sum(c_custkey%11) as bigint)",
+        "checksum_failures": "cast(c_nationkey%3 as bigint)",
+        "blk_read_time": "cast(sum(c_custkey%101) as double)/8.0e0",
+        "blk_write_time": "cast(sum(c_custkey%103) as double)/4.0e0",
+        "session_time": "cast(sum(c_custkey%107) as double)/2.0e0",
+        "active_time": "cast(sum(c_custkey%109) as double)/2.0e0",
+        "idle_in_transaction_time": "cast(sum(c_custkey%113) as double)/2.0e0",
+        "sessions": "cast(sum(c_custkey%17) as bigint)",
+        "sessions_abandoned": "cast(sum(c_custkey%7) as bigint)",
+        "sessions_fatal": "cast(sum(c_custkey%4) as bigint)",
+        "sessions_killed": "cast(c_nationkey%4 as bigint)",
     }, group_by=("c_nationkey",)),
     "pg_stat_activity": Fixture("events", {
         "pid": "event_id",
@@ -186,6 +202,9 @@ FIXTURES: dict[str, Fixture] = {
                  " when 'purchase' then 'idle in transaction' when 'signup' then 'active' else null end",
         "wait_event": "case when event_id%3=0 then null else concat('we',cast(event_id%7 as string)) end",
         "wait_event_type": "case when event_id%3=0 then null else concat('wt',cast(event_id%4 as string)) end",
+        "client_addr": "case when event_id%3=0 then null else concat('10.1.',cast(user_id%4 as string),'.',cast(event_id%250 as string),'/32') end",
+        "client_port": "cast(event_id%60000 as int)",
+        "state_change": "case when event_id%7=0 then null else ts end",
         "query_start": "ts",
         "xact_start": "case when event_id%5=0 then null else ts end",
         "backend_xid": "case when event_id%4=0 then 3+event_id*17 else null end",
@@ -248,6 +267,10 @@ FIXTURES: dict[str, Fixture] = {
         "flush_lsn": "concat('16/',hex(3000000000-s_suppkey*5000))",
         "replay_lsn": "concat('15/',hex(4000000000-s_suppkey*7000))",
         "backend_xmin": "case when s_suppkey%3=0 then 3+s_suppkey*29 else null end",
+        "application_name": "concat('standby_',cast(s_suppkey%7 as string))",
+        "write_lag": "cast(s_suppkey%40 as double)/8.0e0",
+        "flush_lag": "case when s_suppkey%5=0 then null else cast(s_suppkey%60 as double)/4.0e0 end",
+        "replay_lag": "cast(s_suppkey%90 as double)/2.0e0",
     }),
     "pg_prepared_xacts": Fixture("orders", {
         "transaction": "3+o_orderkey*11",
@@ -309,6 +332,9 @@ FIXTURES: dict[str, Fixture] = {
         "last_archived_wal": "concat('00000001000000000000',lpad(hex(n_nationkey*5),4,'0'))",
         "last_failed_wal": "case when n_nationkey%3=0 then null else"
                            " concat('00000001000000000000',lpad(hex(n_nationkey*n_nationkey),4,'0')) end",
+        "last_archived_time": "case when n_nationkey%2=0 then timestamp '2024-01-15 00:00:00' else timestamp '2024-01-16 01:02:03' end",
+        "failed_count": "cast(n_nationkey%3 as bigint)",
+        "last_failed_time": "case when n_nationkey%3=0 then null else timestamp '2024-01-14 12:00:00' end",
         "stats_reset": "timestamp '2024-01-01 00:00:00'",
     }),
     "pg_stat_wal": Fixture("nation", {
@@ -316,6 +342,12 @@ FIXTURES: dict[str, Fixture] = {
         "wal_records": "cast(n_nationkey*1009 as bigint)",
         "wal_fpi": "cast(n_nationkey*13 as bigint)",
         "wal_bytes": "cast(n_nationkey*65536 as bigint)",
+        "wal_buffers_full": "cast(n_nationkey*7 as bigint)",
+        "wal_write": "cast(n_nationkey*11 as bigint)",
+        "wal_sync": "cast(n_nationkey%5 as bigint)",
+        "wal_write_time": "cast(n_nationkey as double)/4.0e0",
+        "wal_sync_time": "cast(n_nationkey as double)/8.0e0",
+        "stats_reset": "case when n_nationkey%2=0 then timestamp '2024-01-01 00:00:00' else timestamp '2024-01-09 10:11:12' end",
     }),
     "pg_depend": Fixture("lineitem", {
         "view_oid": "100000+(l_orderkey%200)*10+4",

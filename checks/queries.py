@@ -15,10 +15,13 @@ from fleetlens.operators import (
     access, bloat, indexes, locks, partitions, replication, server, sessions, sizes, statistics,
     transactions, vacuum,
 )
-from fleetlens.plans.levels import ensure_checkpoint_dir
+from fleetlens.plans.levels import ensure_checkpoint_dir, union_all
+from fleetlens.sources.listing import files_of
+from fleetlens.sources.publish import publish, published
 from fleetlens.streaming.follow import follow_progress
 from fleetlens.streaming.progress import progress_watch
 from fleetlens.streaming.run import snapshot_stream, write_stream
+from fleetlens.streaming.late import hours, late_files, write_hours
 from fleetlens.streaming.wal import wal_hourly_watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,3 +257,38 @@ QUERIES["st2_wal_hourly_watch"] = _run_stream(wal_hourly_watch, as_wal_files)
 QUERIES["st1_progress_follow"] = _run_stream(
     follow_progress, as_polls, last=5, stall_after="4 hours", expire_after="20 hours", delay="10 minutes"
 )
+
+
+def _late_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries, two of them mostly late: counts on time, and those of the late files."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for delivery in range(3):
+        events.filter(F.col("event_id") % 3 == delivery).coalesce(1).write.parquet(f"{folder}/in/delivery={delivery}")
+    stream = snapshot_stream(spark, f"{folder}/in/*", events.schema, files_per_batch=1)
+    target = f"{folder}/hours"
+    write_hours(as_wal_files(stream), target, f"{folder}/state", keys=()).awaitTermination()
+    late = late_files(spark, target).groupBy(*HOUR).agg(F.count("*").alias("late_num"))
+    return plain(
+        hours(spark, target).join(late, HOUR, "full").select(*HOUR, *[F.coalesce(n, F.lit(0)).alias(n) for n in ("wal_num", "late_num")])
+    )
+
+
+HOUR = ["day_id", "hour"]
+QUERIES["st2_wal_hourly_late"] = _late_files
+QUERIES["s3_table_files"] = lambda spark, sf_dir: plain(files_of(spark, sf_dir, "*.parquet", recursive=True))
+
+
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lock bundle, published twice: what a reader of the newest version finds."""
+    root = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    c = catalog(spark, sf_dir, pg_locks="locks_chain")
+    reports = {"lock_wait_queue": locks.lock_wait_queue(c), "lock_pairs": locks.lock_pairs(c), "wait_events": sessions.wait_events(c)}
+    publish({name: df.limit(0) for name, df in reports.items()}, root)
+    publish(reports, root)
+    found = published(spark, root)
+    counts = [df.agg(F.lit(name).alias("report"), F.count("*").alias("n")) for name, df in found.items()]
+    return union_all(counts)
+
+
+QUERIES["s7_lock_bundle_published"] = _published

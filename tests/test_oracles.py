@@ -16,13 +16,17 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+#: SQL over the views cannot name their folder; ``test_publish.py`` compares the listing.
+NO_SQL = {"s3_table_files"}
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in NO_SQL])
 def test_query_matches_oracle(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
 def test_every_report_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | NO_SQL
     assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
