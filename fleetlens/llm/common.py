@@ -27,10 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short plans, and a lost
-    executor costs only what is computed after it."""
+    executor costs only what is computed after it.
+
+    Spark deletes the shuffle files of finished steps when the driver's JVM collects
+    its garbage, which a quiet driver may not do for a long time; so it is asked to."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +43,48 @@ def content_key(text: str | Column) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")))
 
 
+#: Bits that say which keys can be in a table: 16 MB in the driver and in every worker.
+MARK_BITS = 27
+
+
+def marks(slots: DataFrame) -> np.ndarray:
+    """A bit for each of ``slots(slot)``, numbers of ``MARK_BITS`` bits, in words of 64. Whatever the
+    table, at most 2^21 rows come to the driver."""
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which of the slots have their bit."""
+    return (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
+
+
+class KeyFilter:
+    """Tells of a :func:`content_key` that it is not in a table, without a join.
+
+    ``maybe(key)`` is true for all keys of the table and for some others, the more the fuller
+    the bits are; so rows that need a join with the table can be told from those that
+    do not before anything is shuffled.
+    """
+
+    def __init__(self, table: DataFrame, key: str) -> None:
+        part = F.conv(F.hex(F.substring(F.col(key), 1, 4)), 16, 10).cast("long")
+        bits = marks(table.select(F.shiftright(part, 32 - MARK_BITS).alias("slot")))
+        self._bits = table.sparkSession.sparkContext.broadcast(bits)
+
+    def maybe(self, key: Column) -> Column:
+        data, shift = self._bits, np.uint64(32 - MARK_BITS)
+
+        def look(keys: pa.Array) -> pa.Array:
+            four = np.frombuffer(b"".join(k[:4] for k in keys.to_pylist()), ">u4").astype(np.uint64)
+            return pa.array(marked(data.value, four >> shift), pa.bool_())
+
+        return F.arrow_udf(look, "boolean")(key)
+
+
 def line_key(line: str) -> bytes:
     """:func:`content_key` inside a task."""
     return hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()

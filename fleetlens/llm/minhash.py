@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import (
-    WordHashes, as_longs, content_key, keep, mix, shingles, texts,
+    MARK_BITS, WordHashes, as_longs, content_key, keep, marked, marks, mix, shingles, texts,
 )
 from fleetlens.llm.linking import band_hashes, link_contents, pack, tune_bands
 
@@ -121,33 +121,44 @@ def common_shingles(by_text: DataFrame, n: int) -> DataFrame:
     text; ``n`` rows in all are its documents.
 
     Frequencies are partial aggregates per shingle; only frequent shingles are joined
-    back, as rarer ones all have one level. The arrays are those of one text.
+    back, as rarer ones all have one level. A bit per range of shingles marks where there are
+    frequent ones, so that a text only sends shingles with a marked bit to the join. The
+    arrays are those of one text.
     """
     floors = least_df(n)
     least = floors[0] if floors else n + 1
-    counted = by_text.select("node", "n", "text").mapInArrow(_distinct, "node binary, n long, shingle long")
+    rows, columns = by_text.select("node", "n", "text"), "node binary, n long, shingle long"
+    counted = rows.mapInArrow(_distinct(), columns)
     frequent = counted.groupBy("shingle").agg(F.sum("n").alias("df")).filter(F.col("df") >= least)
     level = F.lit(int(level_of(np.ones(1), n)[0]))
     for floor in floors:
         level = level - (F.col("df") >= floor).cast("int")
     frequent = keep(frequent.select("shingle", level.cast("tinyint").alias("level")), "frequent")
-    own = counted.select("node", "shingle").join(frequent, "shingle")
+    slots = frequent.select(F.shiftrightunsigned("shingle", 64 - MARK_BITS).alias("slot"))
+    bits = by_text.sparkSession.sparkContext.broadcast(marks(slots))
+    own = rows.mapInArrow(_distinct(lambda: bits.value), columns).select("node", "shingle").join(frequent, "shingle")
     pairs = own.groupBy("node").agg(F.collect_list(F.struct("shingle", "level")).alias("pairs"))
     return pairs.select("node", F.col("pairs.shingle").alias("shingles"), F.col("pairs.level").alias("levels"))
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text and shingle that it has."""
-    known = WordHashes()
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            found = [np.unique(shingles(known.of(text))) for text in texts(part.column("text"))]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_pydict({
-                "node": part.column("node").take(row), "n": part.column("n").take(row),
-                "shingle": pa.array(as_longs(np.concatenate(found))),
-            })
+def _distinct(frequent: Callable[[], np.ndarray] | None = None):
+    """A row per text and shingle that it has, of those with a bit in ``frequent`` if given."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = WordHashes(), frequent() if frequent else None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [np.unique(shingles(known.of(text))) for text in texts(part.column("text"))]
+                if bits is not None:
+                    found = [f[marked(bits, f >> np.uint64(64 - MARK_BITS))] for f in found]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_pydict({
+                    "node": part.column("node").take(row), "n": part.column("n").take(row),
+                    "shingle": pa.array(as_longs(np.concatenate(found))),
+                })
+
+    return explode
 
 
 def _weights(hashes: np.ndarray, rare: int, common: pa.Scalar, levels: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

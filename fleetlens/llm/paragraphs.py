@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WordHashes, as_longs, content_key, keep, line_key, low_bytes, mix, shingles, texts
+from fleetlens.llm.common import (
+    KeyFilter, WordHashes, as_longs, content_key, keep, line_key, low_bytes, mix, shingles, texts,
+)
 from fleetlens.llm.linking import band_hashes, link_contents, pack, tune_bands
 
 MIN_WORDS = 50
@@ -54,7 +56,8 @@ def repeated_paragraphs(
 
     def sets(candidates: DataFrame) -> DataFrame:
         lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= 2 * min_words - 1)
-        lines = lines.select(content_key("line").alias("node"), "line").join(candidates, "node")
+        lines = lines.select(content_key("line").alias("node"), "line")
+        lines = lines.filter(KeyFilter(candidates, "node").maybe(F.col("node"))).join(candidates, "node")
         return lines.groupBy("node").agg(F.first("line").alias("line")).mapInArrow(_sets, "node binary, data binary")
 
     roots = link_contents(contents.select("node", "bands"), sets, similarity, weighted=False)
@@ -84,8 +87,9 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     gone = repeated_paragraphs(docs, **settings).groupBy("doc_id", "text_key").agg(
         F.collect_set("paragraph").alias("__gone")  # lines of one document
     ).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "__gone")
+    gone = keep(gone, "gone")
     keyed = docs.withColumn("__key", content_key("text"))
-    joined = keyed.join(gone, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    joined = _joined(keyed, gone, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")))
     kept = F.array_join(
         F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"
     )
@@ -96,7 +100,7 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     spans = repeated_passages(out, settings.get("min_words", MIN_WORDS)).select(
         F.col("text_key").alias("__k"), F.col("doc_id").alias("__d"), F.col("spans").alias("__spans")
     )
-    joined = out.withColumn("__key", content_key("text")).join(spans, F.col("__key") == F.col("__k"), "left")
+    joined = _joined(out.withColumn("__key", content_key("text")), keep(spans, "spans"), F.col("__key") == F.col("__k"))
     found, first = F.col("__k").isNotNull(), F.col("doc_id").eqNullSafe(F.col("__d"))
     cut = F.udf(_cut, "string", useArrow=True)(F.when(found & first, F.col("text")), F.when(found & first, F.col("__spans")))
     text = F.when(~found, F.col("text")).when(first, cut).otherwise("")
@@ -109,6 +113,13 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     return out.select(*[c for c in docs.columns if c != "n_removed"], "n_removed")
 
 
+def _joined(docs: DataFrame, found: DataFrame, on: Column) -> DataFrame:
+    """Left join of ``docs(__key, …)`` with ``found(__k, …)``; only texts that can have a row there are shuffled."""
+    maybe = KeyFilter(found, "__k").maybe(F.col("__key"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields]
+    return docs.filter(maybe).join(found, on, "left").unionByName(docs.filter(~maybe).select("*", *none))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(text_key, doc_id, spans)`` of the texts that hold a passage again.
 
@@ -137,8 +148,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     anchors = contents.select("text_key", F.explode("anchors").alias("anchor"))
     twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     wanted = anchors.distinct().join(twice, "anchor").groupBy("text_key").agg(F.collect_list("anchor").alias("anchors"))  # those of one text
-    wanted = wanted.join(contents.select("text_key", "doc_id"), "text_key")
+    wanted = keep(wanted.join(contents.select("text_key", "doc_id"), "text_key"), "wanted")
     text = docs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "text")
+    text = text.filter(KeyFilter(wanted, "text_key").maybe(F.col("k")))
     found = wanted.join(text, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     windows = keep(
         found.select("doc_id", "text_key", "anchors", "text").mapInArrow(
