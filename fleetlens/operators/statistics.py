@@ -198,7 +198,7 @@ def measured_views(tables: Mapping[str, tuple[DataFrame, Column | int]], schema:
     """
     parts = [
         column_statistics(df).select(
-            F.lit(i).cast("long").alias("relid"), F.lit(name).alias("relname"), "attnum", "attname", "n_rows", "null_frac",
+            F.lit(i).cast("long").alias("relid"), F.lit(name).alias("relname"), F.lit(1).cast("long").alias("schema_id"), "attnum", "attname", "n_rows", "null_frac",
             "avg_width",
         )
         for i, (name, (df, _)) in enumerate(tables.items(), 1)
@@ -208,10 +208,10 @@ def measured_views(tables: Mapping[str, tuple[DataFrame, Column | int]], schema:
     for i, (_, size) in enumerate(tables.values(), 1):
         pages = F.when(F.col("oid") == i, size if isinstance(size, Column) else F.lit(size)).otherwise(pages)
     present = 1 - F.col("null_frac")
-    relations = columns.groupBy(F.col("relid").alias("oid"), "relname").agg(
+    relations = columns.groupBy(F.col("relid").alias("oid"), "relname", "schema_id").agg(
         F.max("n_rows").alias("n_rows"), F.sum(present * F.coalesce("avg_width", F.lit(0.0))).alias("row_bytes")
     )
-    namespace = columns.sparkSession.range(1).select(F.lit(1).cast("long").alias("oid"), F.lit(schema).alias("nspname"))
+    namespace = columns.select(F.col("schema_id").alias("oid")).distinct().withColumn("nspname", F.lit(schema))
     return {
         "pg_namespace": namespace,
         "pg_attribute": columns.select("relid", "attnum", "attname", F.lit(False).alias("attisdropped")),
@@ -220,7 +220,7 @@ def measured_views(tables: Mapping[str, tuple[DataFrame, Column | int]], schema:
             F.round(F.coalesce("avg_width", F.lit(0.0))).alias("avg_width"),
         ),
         "pg_class": relations.select(
-            "oid", "relname", F.lit(1).cast("long").alias("relnamespace"), F.lit("r").alias("relkind"),
+            "oid", "relname", F.col("schema_id").alias("relnamespace"), F.lit("r").alias("relkind"),
             F.lit(0).cast("long").alias("reltoastrelid"), F.col("n_rows").alias("reltuples"), pages.cast("long").alias("relpages"),
         ),
         "pg_stat_user_tables": relations.select(
