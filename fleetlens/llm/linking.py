@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +68,13 @@ def link_contents(
     similarity: float,
     weighted: bool,
     block: int = BLOCK,
+    read: Callable[[bytes], tuple[np.ndarray, np.ndarray]] | None = None,
 ) -> DataFrame:
     """``(node, root)`` of the contents that are linked to another one.
 
     ``nodes(node, bands)`` has a row per distinct content; ``sets(candidates)``
-    gives ``(node, data)`` of :func:`pack` for a table of nodes.
+    gives ``(node, data)`` for a table of nodes; ``read`` makes hashes and weights of
+    ``data``, or it is that of :func:`pack`.
 
     Links are all pairs that share a band and whose exact similarity is at least
     ``similarity``. Only their components are asked for, so most pairs of a large
@@ -85,6 +88,7 @@ def link_contents(
 
     So a bucket of many copies costs a row per copy, and no link is lost.
     """
+    read = read or partial(unpack, weighted=weighted)
     banded = nodes.select("node", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
     members = keep(banded.join(heads, "band").filter("node <> head").select("band", "node", "head"), "members")
@@ -95,20 +99,20 @@ def link_contents(
     first = stars.join(data, "node").withColumnRenamed("data", "x").join(
         data.select(F.col("node").alias("head"), F.col("data").alias("y")), "head"
     )
-    links = keep(_verified(first, similarity, weighted), "links")
+    links = keep(_verified(first, similarity, read), "links")
     roots = keep(components(links), "roots")
 
     mixed = _mixed(members, roots)
     cells = _cells(members.select("band", "node"), mixed, roots, block).join(data, "node")
     cells = cells.repartition("band", "cell").sortWithinPartitions("band", "cell")
-    more = cells.mapInArrow(_cell_links(similarity, weighted), "a binary, b binary")
+    more = cells.mapInArrow(_cell_links(similarity, read), "a binary, b binary")
     more = keep(more.distinct(), "links")
     if more.isEmpty():
         return roots
     return components(links.unionByName(more))
 
 
-def _verified(pairs: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+def _verified(pairs: DataFrame, similarity: float, read: Callable) -> DataFrame:
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +123,8 @@ def _verified(pairs: DataFrame, similarity: float, weighted: bool) -> DataFrame:
             hits = []
             for i in range(len(a)):
                 if b[i] != last:
-                    last, y = b[i], unpack(y_data[i].as_py(), weighted)
-                if jaccard(unpack(x_data[i].as_py(), weighted), y) >= similarity:
+                    last, y = b[i], read(y_data[i].as_py())
+                if jaccard(read(x_data[i].as_py()), y) >= similarity:
                     hits.append(i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a[i] for i in hits], pa.binary()), pa.array([b[i] for i in hits], pa.binary())], schema=schema
@@ -161,14 +165,14 @@ def _cells(members: DataFrame, mixed: DataFrame, roots: DataFrame, block: int) -
     )
 
 
-def _cell_links(similarity: float, weighted: bool):
+def _cell_links(similarity: float, read: Callable):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> pa.RecordBatch:
-            found = compare_cell(rows, *map(int, key[1].split("-")), similarity, weighted) if key else []
+            found = compare_cell(rows, *map(int, key[1].split("-")), similarity, read) if key else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], schema=schema)
 
         for batch in batches:
@@ -183,14 +187,16 @@ def _cell_links(similarity: float, weighted: bool):
     return compare
 
 
-def compare_cell(rows: list, low: int, high: int, similarity: float, weighted: bool) -> list[tuple[bytes, bytes]]:
+def compare_cell(rows: list, low: int, high: int, similarity: float, read: Callable) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links between components; ``rows`` are (node, block,
     root, data). A cell of one block compares it with itself."""
     left = [r for r in rows if r[1] == low]
     right = left if low == high else [r for r in rows if r[1] == high]
     if not left or not right:
         return []
-    common, x, y = overlaps([unpack(r[3], weighted) for r in left], [unpack(r[3], weighted) for r in right])
+    sets = [read(r[3]) for r in left]
+    others = sets if low == high else [read(r[3]) for r in right]
+    common, x, y = overlaps(sets, others)
     # The product is in single precision: what it lets through is compared exactly.
     i, j = np.nonzero(common >= (similarity - 1e-3) * (x[:, None] + y[None, :] - common))
     up: dict[bytes, bytes] = {}
@@ -203,7 +209,7 @@ def compare_cell(rows: list, low: int, high: int, similarity: float, weighted: b
     out = []
     for p, q in zip(i.tolist(), j.tolist(), strict=True):
         a, b = top(left[p][2]), top(right[q][2])
-        if a != b and jaccard(unpack(left[p][3], weighted), unpack(right[q][3], weighted)) >= similarity:
+        if a != b and jaccard(sets[p], others[q]) >= similarity:
             up[max(a, b)] = min(a, b)
             out.append((left[p][0], right[q][0]))
     return out

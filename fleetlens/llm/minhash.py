@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import (
-    MARK_BITS, WordHashes, as_longs, content_key, keep, marked, marks, mix, shingles, texts,
+    WordHashes, as_longs, content_key, keep, mix, remembered, shingles, texts,
 )
-from fleetlens.llm.linking import band_hashes, link_contents, pack, tune_bands
+from fleetlens.llm.linking import band_hashes, link_contents, tune_bands
 
 #: Weights are 1 to 2 in steps of 1 / STEPS.
 STEPS = 8
@@ -55,21 +55,21 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         "texts",
     )
     n = by_text.agg(F.sum("n")).first()[0] or 0
-    rare = int(level_of(np.ones(1), n)[0])
-    common = common_shingles(by_text, n)
     bands, rows = tune_bands(settings.similarity, settings.recall)
-    signed = by_text.select("node", "doc_id", "text").join(common, "node", "left").mapInArrow(
-        _sign(rare, settings, bands, rows),
-        "node binary, doc_id long, bands array<long>, shingles array<long>, levels array<tinyint>",
+    contents = keep(
+        with_levels(
+            by_text, n, _sign(settings, bands, rows), "node binary, doc_id long, bands array<long>, levels binary"
+        ),
+        "contents",
     )
-    contents = keep(signed, "contents")
 
     def sets(candidates: DataFrame) -> DataFrame:
-        wanted = contents.select("node", "shingles", "levels").join(candidates, "node", "left_semi")
-        found = wanted.join(by_text.select("node", "text"), "node")
-        return found.mapInArrow(_weigh(rare), "node binary, data binary")
+        wanted = contents.select("node", "levels").join(candidates, "node", "left_semi")
+        size = F.lpad(F.hex(F.length("levels")), 8, "0")
+        data = F.concat(F.unhex(size), "levels", F.coalesce("text", F.lit("")).cast("binary"))
+        return wanted.join(by_text.select("node", "text"), "node").select("node", data.alias("data"))
 
-    roots = link_contents(contents.select("node", "bands"), sets, settings.similarity, weighted=True)
+    roots = link_contents(contents.select("node", "bands"), sets, settings.similarity, weighted=True, read=weighted_set)
     placed = contents.select("node", "doc_id").join(roots, "node", "left")
     linked = placed.filter("root is not null")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -103,72 +103,128 @@ def level_of(df: np.ndarray, n: int) -> np.ndarray:
     return np.round(np.clip(idf, 0, 1) * STEPS).astype(np.int8)
 
 
-def least_df(n: int) -> list[int]:
-    """Of each level below that of df = 1, from the highest one: the least df that has it, or a lower one."""
-    out, top = [], int(level_of(np.ones(1), n)[0])
-    for level in range(top - 1, -1, -1):
-        low, high = 1, n + 1
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (low, middle) if level_of(np.array([middle]), n)[0] <= level else (middle, high)
-        out.append(high)
-    return out
+#: Bytes of text whose shingles one task looks at together, as a chunk of texts or a range of hashes.
+CHUNK = 1 << 23
+
+
+def with_levels(by_text: DataFrame, n: int, emit: Callable, schema: str) -> DataFrame:
+    """``emit(texts, weights)`` for chunks of ``by_text(node, n, text, …)``, a row per distinct text;
+    ``n`` rows in all are its documents. ``texts`` are rows of a chunk, ``weights`` of each
+    its distinct shingles in ascending order, their counts in it, and their levels.
+
+    Frequencies are exact and counted once: a chunk of texts sends its distinct shingles,
+    each with the documents of the chunk that have it, as one sorted block per range of hashes. A
+    range adds its blocks up and answers each with the levels of its shingles, in the order
+    of the block; blocks of rare shingles alone get no answer. The answers go back to the
+    chunk's texts. Chunks and ranges hold about ``CHUNK`` bytes of text, whatever
+    the input, and a shingle that every text has is one entry per block.
+    """
+    size = by_text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = size // CHUNK + 1
+    chunked = by_text.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(parts)))
+    blocks = chunked.select("chunk", "n", "text").groupBy("chunk").applyInArrow(
+        _blocks(parts), "chunk long, range long, size int, ids binary, counts binary"
+    )
+    answers = keep(blocks.groupBy("range").applyInArrow(_answers(n), "chunk long, range long, levels binary"), "levels")
+    rare = int(level_of(np.ones(1), n)[0])
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_levelled(parts, rare, emit), schema)
 
 
 def common_shingles(by_text: DataFrame, n: int) -> DataFrame:
     """``(node, shingles, levels)``: the shingles of each text whose level is below that
-    of df = 1, with their levels. ``by_text(node, n, text)`` has a row per distinct
-    text; ``n`` rows in all are its documents.
+    of df = 1, with their levels."""
+    rare = int(level_of(np.ones(1), n)[0])
+
+    def emit(rows: pa.Table, weights: list) -> pa.Table:
+        below = [(ids[levels < rare], levels[levels < rare]) for ids, _, levels in weights]
+        lists = [pa.array([as_longs(b[0]) for b in below], pa.list_(pa.int64())), pa.array([b[1] for b in below], pa.list_(pa.int8()))]
+        return pa.table([rows.column("node"), *lists], ["node", "shingles", "levels"])
+
+    return with_levels(by_text, n, emit, "node binary, shingles array<long>, levels array<tinyint>")
+
+
+def _ranges(ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of hashes that ascending ``ids`` meet, and where each begins."""
+    high = (ids >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return high[starts].astype(np.int64), starts
 
-    Frequencies are partial aggregates per shingle; only frequent shingles are joined
-    back, as rarer ones all have one level. A bit per range of shingles marks where there are
-    frequent ones, so that a text only sends shingles with a marked bit to the join. The
-    arrays are those of one text.
-    """
-    floors = least_df(n)
-    least = floors[0] if floors else n + 1
-    rows, columns = by_text.select("node", "n", "text"), "node binary, n long, shingle long"
-    counted = rows.mapInArrow(_distinct(), columns)
-    frequent = counted.groupBy("shingle").agg(F.sum("n").alias("df")).filter(F.col("df") >= least)
-    level = F.lit(int(level_of(np.ones(1), n)[0]))
-    for floor in floors:
-        level = level - (F.col("df") >= floor).cast("int")
-    frequent = keep(frequent.select("shingle", level.cast("tinyint").alias("level")), "frequent")
-    slots = frequent.select(F.shiftrightunsigned("shingle", 64 - MARK_BITS).alias("slot"))
-    bits = by_text.sparkSession.sparkContext.broadcast(marks(slots))
-    own = rows.mapInArrow(_distinct(lambda: bits.value), columns).select("node", "shingle").join(frequent, "shingle")
-    pairs = own.groupBy("node").agg(F.collect_list(F.struct("shingle", "level")).alias("pairs"))
-    return pairs.select("node", F.col("pairs.shingle").alias("shingles"), F.col("pairs.level").alias("levels"))
-
-
-def _distinct(frequent: Callable[[], np.ndarray] | None = None):
-    """A row per text and shingle that it has, of those with a bit in ``frequent`` if given."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = WordHashes(), frequent() if frequent else None
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                found = [np.unique(shingles(known.of(text))) for text in texts(part.column("text"))]
-                if bits is not None:
-                    found = [f[marked(bits, f >> np.uint64(64 - MARK_BITS))] for f in found]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_pydict({
-                    "node": part.column("node").take(row), "n": part.column("n").take(row),
-                    "shingle": pa.array(as_longs(np.concatenate(found))),
-                })
-
-    return explode
-
-
-def _weights(hashes: np.ndarray, rare: int, common: pa.Scalar, levels: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles in ascending order, their counts, their weight levels."""
-    ids, counts = np.unique(hashes, return_counts=True)
-    out = np.full(len(ids), rare, np.int8)
-    if common.is_valid:
-        at = np.searchsorted(ids, common.values.to_numpy().view(np.uint64))
-        out[at] = levels.values.to_numpy()
-    return ids, counts, out
+
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers in as many bytes as the largest one needs, low bytes of all first."""
+    width = (int(x.max()).bit_length() + 7) // 8
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def widen(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    width = len(data) // size
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, size).T
+    return out.view("<u8").reshape(-1)
+
+
+def _blocks(parts: int):
+    def send(chunk: pa.Table) -> pa.Table:
+        known = remembered("words", WordHashes)
+        found = [np.unique(shingles(known.of(text))) for text in texts(chunk.column("text"))]
+        n = np.repeat(chunk.column("n").to_numpy(), [len(f) for f in found])
+        ids, at = np.unique(np.concatenate(found), return_inverse=True)
+        counts = np.bincount(at, n).astype(np.uint64)
+        ranges, starts = _ranges(ids, parts)
+        out = []
+        for low, high in zip(starts, [*starts[1:], len(ids)], strict=True):
+            steps = np.diff(ids[low:high], prepend=np.uint64(0))
+            out.append((high - low, narrow(steps), narrow(counts[low:high] - np.uint64(1))))
+        return pa.table({
+            "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(out), pa.int64()), "range": pa.array(ranges, pa.int64()),
+            "size": pa.array([o[0] for o in out], pa.int32()), "ids": pa.array([o[1] for o in out], pa.binary()),
+            "counts": pa.array([o[2] for o in out], pa.binary()),
+        })
+
+    return send
+
+
+def _answers(n: int):
+    rare = int(level_of(np.ones(1), n)[0])
+
+    def answer(blocks: pa.Table) -> pa.Table:
+        sizes = blocks.column("size").to_pylist()
+        ids, counts = (
+            [widen(data, size) for data, size in zip(blocks.column(c).to_pylist(), sizes, strict=True)] for c in ("ids", "counts")
+        )
+        _, at = np.unique(np.concatenate([np.cumsum(i, dtype=np.uint64) for i in ids]), return_inverse=True)
+        df = np.bincount(at, np.concatenate(counts).astype(np.float64) + 1)
+        levels = np.split(level_of(df, n)[at], np.cumsum(sizes)[:-1])
+        told = [i for i, level in enumerate(levels) if (level != rare).any()]
+        out = blocks.select(["chunk", "range"]).take(pa.array(told, pa.int64()))
+        return out.append_column("levels", pa.array([levels[i].tobytes() for i in told], pa.binary()))
+
+    return answer
+
+
+def _levelled(parts: int, rare: int, emit: Callable):
+    def give(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        known = remembered("words", WordHashes)
+        found = [np.unique(shingles(known.of(text)), return_counts=True) for text in texts(rows.column("text"))]
+        ids = np.unique(np.concatenate([f[0] for f in found])) if found else np.zeros(0, np.uint64)
+        levels = np.full(len(ids), rare, np.int8)
+        ranges, starts = _ranges(ids, parts)
+        begin = dict(zip(ranges.tolist(), starts.tolist(), strict=True))
+        for part, data in zip(answers.column("range").to_pylist(), answers.column("levels").to_pylist(), strict=True):
+            levels[begin[part] : begin[part] + len(data)] = np.frombuffer(data, np.int8)
+        return emit(rows, [(own, counts, levels[np.searchsorted(ids, own)]) for own, counts in found])
+
+    return give
+
+
+def weighted_set(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of a text: ``data`` are the number of its distinct shingles in
+    four bytes, their levels, and the text."""
+    known = remembered("words", WordHashes)
+    size = int.from_bytes(data[:4], "big")
+    levels = np.frombuffer(data, np.int8, size, 4)
+    text = data[4 + size :].decode("utf-8", "surrogatepass")
+    return elements(*np.unique(shingles(known.of(text)), return_counts=True), 1 + levels / STEPS)
 
 
 def elements(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,41 +288,17 @@ class Sampler:
         return mix(ids[best] + mix(t.view(np.uint64)))
 
 
-def _sign(rare: int, settings: Settings, bands: int, rows: int):
-    schema = pa.schema([
-        ("node", pa.binary()), ("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())),
-        ("shingles", pa.list_(pa.int64())), ("levels", pa.list_(pa.int8())),
-    ])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sampler = WordHashes(), Sampler(bands * rows, settings.slots, settings.seed)
-        for batch in batches:
-            ids, has = [], []
-            common, levels = (batch.column(c).cast(schema.field(c).type) for c in ("shingles", "levels"))
-            for i, text in enumerate(texts(batch.column("text"))):
-                words = known.of(text)
-                has.append(len(words) > 0)
-                if has[-1]:
-                    ids.append(sampler.sample(*_weights(shingles(words), rare, common[i], levels[i])))
-            hashes = band_hashes(np.array(ids, np.uint64).reshape(len(ids), bands * rows), bands, rows)
-            ends = np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("doc_id").cast(pa.int64()), lists, common, levels], schema=schema
-            )
+def _sign(settings: Settings, bands: int, rows: int):
+    def sign(chunk: pa.Table, weights: list) -> pa.Table:
+        sampler = remembered(("sampler", settings, bands, rows), lambda: Sampler(bands * rows, settings.slots, settings.seed))
+        has = [len(w[0]) > 0 for w in weights]
+        ids = [sampler.sample(*w) for w in weights if len(w[0])]
+        hashes = band_hashes(np.array(ids, np.uint64).reshape(len(ids), bands * rows), bands, rows)
+        ends = np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1)))
+        levels = pa.array([w[2].tobytes() for w in weights], pa.binary())
+        return pa.table(
+            [chunk.column("node"), chunk.column("doc_id").cast(pa.int64()), lists, levels], ["node", "doc_id", "bands", "levels"]
+        )
 
     return sign
-
-
-def _weigh(rare: int):
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            data = []
-            for i, text in enumerate(texts(batch.column("text"))):
-                common, levels = batch.column("shingles")[i], batch.column("levels")[i]
-                ids, counts, level = _weights(shingles(known.of(text)), rare, common, levels)
-                data.append(pack(*elements(ids, counts, 1 + level / STEPS)))
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "data": pa.array(data, pa.binary())})
-
-    return weigh
