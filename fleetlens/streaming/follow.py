@@ -9,17 +9,15 @@ over all polls.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetlens.functions.numbers import ratio
 from fleetlens.streaming.progress import COUNTERS
 
-_POLL = "at bigint, phase string, done bigint, total bigint"
 _RESULT = "at bigint, kind string, phase string, done bigint, total bigint, polls bigint, rate double, stalled_for double"
 
 
@@ -104,109 +102,80 @@ def _windowed(rows: DataFrame, keys: Sequence[str], until: Column | None, last:
 
 
 def _stateful(rows: DataFrame, keys: Sequence[str], delay: str, last: int, stall: int, expire: int) -> DataFrame:
-    rows = rows.withWatermark("seen_at", delay).withColumn("at", F.unix_micros("seen_at"))
-    schema = T.StructType([*(rows.schema[k] for k in (*keys, "pid")), *T.StructType.fromDDL(_RESULT)])
-    return rows.groupBy(*keys, "pid").transformWithState(
-        _follower(Row(*schema.names), last, stall, expire), schema, outputMode="Append", timeMode="EventTime"
+    result = T.StructType([*(rows.schema[k] for k in (*keys, "pid")), *T.StructType.fromDDL(_RESULT)])
+    # Counters travel as text: pandas has no whole numbers beside nulls.
+    rows = rows.withWatermark("seen_at", delay).withColumns({
+        "at": F.unix_micros("seen_at"), "done": F.col("done").cast("string"), "total": F.col("total").cast("string"),
+    })
+    return rows.groupBy(*keys, "pid").applyInPandasWithState(
+        _follower(result.names, last, stall, expire), result, "state string", "append", "EventTimeTimeout"
     )
 
 
-def _follower(result: Row, last: int, stall: int, expire: int) -> StatefulProcessor:
-    """Defined inside a function, so that it is sent to the executors as a value."""
-    names = ("at", "phase", "done", "total")
-    as_poll = Row(*names)
-
-    def order(poll: Row) -> tuple:
-        known = [(x is not None, x if x is not None else empty) for x, empty in ((poll.done, 0), (poll.total, 0), (poll.phase, ""))]
-        return poll.at, *known
-
-    class Follower(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.waiting = handle.getListState("waiting", _POLL)
-            self.recent = handle.getListState("recent", "at bigint, done bigint")
-            self.session = handle.getValueState("session", f"{_POLL}, polls bigint, since bigint, alarmed boolean, rate double")
-            self.timer = handle.getValueState("timer", "at bigint")
-
-        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-            passed = timerValues.getCurrentWatermarkInMs() * 1000
-            polls = [tuple(getattr(r, n) for n in names) for r in rows if r.at > passed]
-            if polls:
-                self.waiting.appendList(polls)
-                self._wake(min(p[0] for p in polls))
-            return iter(())
-
-        def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-            passed = timerValues.getCurrentWatermarkInMs() * 1000
-            self.timer.clear()
-            polls = [as_poll(*p) for p in self.waiting.get()]
-            later = [tuple(p) for p in polls if p.at > passed]
-            due: dict[int, Row] = {}
-            for p in sorted((p for p in polls if p.at <= passed), key=order):
-                due[p.at] = p  # the largest of one time stays
-            if len(later) < len(polls):
-                self.waiting.clear()
-                if later:
-                    self.waiting.put(later)
-            state = self._state()
-            recent = [tuple(r) for r in self.recent.get()]
-            out = []
-            for poll in due.values():
-                if state and poll.at - state["at"] > expire:
-                    out.append(self._gone(key, state))
-                    state = None
-                if state is None:
-                    state, recent = {"polls": 0, "since": poll.at, "alarmed": False, "done": None, "phase": None}, []
-                elif (state["done"], state["phase"]) != (poll.done, poll.phase):
-                    state |= {"since": poll.at, "alarmed": False}
-                recent = [*recent, (poll.at, poll.done)][-last:]
-                state |= {n: getattr(poll, n) for n in names} | {"polls": state["polls"] + 1, "rate": self._rate(recent)}
-                alarm = not state["alarmed"] and poll.at - state["since"] >= stall
-                state["alarmed"] |= alarm
-                out.append(self._row(key, state, poll.at, "stalled" if alarm else "progress"))
-            if state and state["at"] + expire <= passed:
-                out.append(self._gone(key, state))
-                state = None
-            if state:
-                self.session.update(tuple(state[n] for n in (*names, "polls", "since", "alarmed", "rate")))
-                self.recent.put(recent)
-                self._wake(min([state["at"] + expire, *(p[0] for p in later)]))
-            else:
-                self.session.clear()
-                self.recent.clear()
-                if later:
-                    self._wake(min(p[0] for p in later))
-            return iter(out)
-
-        def _state(self) -> dict | None:
-            if not self.session.exists():
-                return None
-            return dict(zip((*names, "polls", "since", "alarmed", "rate"), self.session.get(), strict=True))
-
-        def _wake(self, at: int) -> None:
-            """One timer a session: the earliest it needs."""
-            at = -(-at // 1000)
-            known = self.timer.get()[0] if self.timer.exists() else None
-            if known is None or at < known:
-                if known is not None:
-                    self.handle.deleteTimer(known)
-                self.handle.registerTimer(at)
-                self.timer.update((at,))
-
-        def _rate(self, recent: list[tuple]) -> float | None:
-            (start, first), (end, now) = recent[0], recent[-1]
-            return None if start == end or first is None or now is None else (now - first) / ((end - start) / 1e6)
-
-        def _row(self, key: tuple, state: dict, at: int, kind: str) -> Row:
-            return result(
-                *key, at, kind, state["phase"], state["done"], state["total"], state["polls"], state["rate"],
-                (state["at"] - state["since"]) / 1e6,
-            )
-
-        def _gone(self, key: tuple, state: dict) -> Row:
-            return self._row(key, state, state["at"] + expire, "gone")
-
-        def close(self) -> None:
-            pass
-
-    return Follower()
+def _follower(names: list[str], last: int, stall: int, expire: int) -> Callable[..., Iterator]:
+    """Defined inside a function, so that it is sent to the executors as a value.
+
+    A session's state is one text: the polls that wait, the recent ones, and what is known.
+    Any store of state keeps it, and a call reads and writes it once.
+    """
+
+    def order(poll: list) -> tuple:
+        at, phase, done, total = poll
+        return at, *((x is not None, x if x is not None else empty) for x, empty in ((done, 0), (total, 0), (phase, "")))
+
+    def rate(recent: list[list]) -> float | None:
+        (start, first), (end, now) = recent[0], recent[-1]
+        return None if start == end or first is None or now is None else (now - first) / ((end - start) / 1e6)
+
+    def row(s: dict, at: int, kind: str) -> tuple:
+        return at, kind, s["phase"], s["done"], s["total"], s["polls"], s["rate"], (s["at"] - s["since"]) / 1e6
+
+    def told(s: dict | None, recent: list[list], due: list[list], passed: int, out: list[tuple]) -> tuple[dict | None, list]:
+        for at, phase, done, total in due:
+            if s and at - s["at"] > expire:
+                out.append(row(s, s["at"] + expire, "gone"))
+                s = None
+            if s is None:
+                s, recent = {"polls": 0, "since": at, "alarmed": False}, []
+            elif (s["done"], s["phase"]) != (done, phase):
+                s |= {"since": at, "alarmed": False}
+            recent = [*recent, [at, done]][-last:]
+            s |= {"at": at, "phase": phase, "done": done, "total": total, "polls": s["polls"] + 1, "rate": rate(recent)}
+            alarm = not s["alarmed"] and at - s["since"] >= stall
+            s["alarmed"] |= alarm
+            out.append(row(s, at, "stalled" if alarm else "progress"))
+        if s and s["at"] + expire <= passed:
+            out.append(row(s, s["at"] + expire, "gone"))
+            s = None
+        return s, recent if s else []
+
+    def follow(key: tuple, frames: Iterator, state: object) -> Iterator:
+        import json
+
+        import pandas as pd
+
+        passed = state.getCurrentWatermarkMs() * 1000
+        polls, recent, s = json.loads(state.get[0]) if state.exists else ([], [], None)
+        whole = lambda x: int(x) if isinstance(x, str) else None
+        for frame in () if state.hasTimedOut else frames:
+            polls += [
+                [int(at), phase if isinstance(phase, str) else None, whole(done), whole(total)]
+                for at, phase, done, total in zip(frame["at"], frame["phase"], frame["done"], frame["total"], strict=True)
+                if at > passed
+            ]
+        due = {p[0]: p for p in sorted((p for p in polls if p[0] <= passed), key=order)}  # the largest of one time stays
+        later = [p for p in polls if p[0] > passed]
+        out: list[tuple] = []
+        s, recent = told(s, recent, list(due.values()), passed, out)
+        if s or later:
+            state.update((json.dumps([later, recent, s]),))
+            # A timeout comes when the watermark is beyond it, and the earliest that is needed has to be reached.
+            wake = min([*([s["at"] + expire] if s else ()), *(p[0] for p in later)])
+            state.setTimeoutTimestamp(-(-wake // 1000) - 1)
+        elif state.exists:
+            state.remove()
+        if out:
+            own = tuple(None if pd.isna(k) else k for k in key)
+            yield pd.DataFrame([(*own, *r) for r in out], columns=names, dtype=object)
+
+    return follow

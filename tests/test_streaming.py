@@ -105,6 +105,23 @@ def test_following_survives_restarts_and_any_cut_into_files(spark, tmp_path):
     assert min(kinds.values()) > 3
 
 
+def test_following_needs_no_setting_of_the_session(spark, tmp_path):
+    """Sessions of Spark's own settings keep state in a store without column families."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    polls = [(0, 1, "scan", 10), (2, 1, "scan", None), (4, None, None, 2**60 + 1), (5, None, "scan", None), (300, 2, "scan", 1)]
+    spark.createDataFrame(poll_rows(polls), POLLS).coalesce(1).write.parquet(f"{tmp_path}/in/part=0")
+    stream = spark.readStream.schema(POLLS).parquet(f"{tmp_path}/in/*")
+    before = spark.conf.get(provider)
+    spark.conf.unset(provider)
+    try:
+        found = run(spark, follow_progress(stream), tmp_path).collect()
+    finally:
+        spark.conf.set(provider, before)
+    end = F.lit(dt.datetime(2024, 1, 1, 4, 50)).cast("timestamp")
+    batch = follow_progress(spark.createDataFrame(poll_rows(polls), POLLS), until=end)
+    assert sorted(map(str, found)) == sorted(map(str, batch.collect())) and len(found) == 6
+
+
 def test_following_a_batch_by_hand(spark):
     polls = [(0, 1, "scan", 10), (1, 1, "scan", 16), (2, 1, "scan", 16), (9, 1, "scan", 16), (12, 1, "scan", 16), (13, 1, "scan", 40), (50, 1, "scan", 41)]
     rows = follow_progress(spark.createDataFrame(poll_rows(polls), POLLS), last=2, stall_after="8 minutes", expire_after="20 minutes")
