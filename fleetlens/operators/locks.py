@@ -13,7 +13,7 @@ from fleetlens.functions.order import down, up
 from fleetlens.functions.text import concat_skip_null, span_text
 from fleetlens.functions.times import exact_seconds_between, seconds_between
 from fleetlens.plans.graphs import strong_components
-from fleetlens.plans.levels import cut_lineage, union_all, walk_levels
+from fleetlens.plans.levels import cut_lineage, keep_rows, union_all, walk_levels
 from fleetlens.plans.skew import HOT_ROWS, grid_join
 from fleetlens.sources.catalog import Catalog
 from fleetlens.sources.lock_modes import lock_conflicts
@@ -283,7 +283,8 @@ def _same_target(targets: DataFrame, on: list[str], *carried: str) -> tuple[Data
 def class_pairs(c: Catalog, targets: DataFrame, require_granted: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(keys, blocked_pid, blocking_pid) of the given rows of :func:`lock_classes`, as often as R17 has each."""
     on = c.on(*TARGET)
-    here = _at_targets(c, require_granted).join(*_same_target(targets, on), "left_semi")
+    # Both sides are counted and then joined: kept once instead of found four times.
+    here = keep_rows(_at_targets(c, require_granted).join(*_same_target(targets, on), "left_semi"))
     blocked = here.filter("waits > 0").select(*on, F.col("pid").alias("blocked_pid"), F.col("waits").alias("m"))
     blocking = here.filter("blocks > 0").select(*on, F.col("pid").alias("blocking_pid"), F.col("blocks").alias("n"))
     pairs = grid_join(blocked, blocking, on, "blocked_pid", "blocking_pid", hot_rows).filter("blocked_pid <> blocking_pid")
