@@ -5,7 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from fleetlens.operators import access
+import pytest
+
+from checks.fixtures import catalog
+from fleetlens.operators import access, bloat, indexes, locks
+from tests.conftest import SF
 from tests.helpers import small_catalog, values
 
 
@@ -40,3 +44,16 @@ def test_privileges_are_made_by_the_last_join(spark):
     assert Counter(values(found, "user_name", "table_schema", "table_name", "privilege_type")) == expected
     c.ordered = False
     assert "Aggregate" not in plan(access.effective_privileges(c))
+
+
+@pytest.mark.parametrize(("report", "sides"), [
+    (indexes.high_null_indexes, 2), (indexes.index_columns, 2), (bloat.index_key_widths, 2), (bloat.index_bloat, 3), (access.view_dependencies, 2),
+])
+def test_columns_of_all_tables_are_never_broadcast(spark, report, sides):
+    """A column view has several rows for one of its file: its size as read from the file misleads the planner."""
+    assert plan(report(catalog(spark, SF))).count("strategy=merge") == sides
+
+
+def test_locks_at_the_targets_are_found_once(spark):
+    c = catalog(spark, SF)
+    assert "Aggregate" not in plan(locks.class_pairs(c, locks.lock_classes(c).filter("n_pairs > 0")))
