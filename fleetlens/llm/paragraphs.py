@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import (
@@ -100,10 +100,12 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     spans = repeated_passages(out, settings.get("min_words", MIN_WORDS)).select(
         F.col("text_key").alias("__k"), F.col("doc_id").alias("__d"), F.col("spans").alias("__spans")
     )
-    joined = _joined(out.withColumn("__key", content_key("text")), keep(spans, "spans"), F.col("__key") == F.col("__k"))
     found, first = F.col("__k").isNotNull(), F.col("doc_id").eqNullSafe(F.col("__d"))
     cut = F.udf(_cut, "string", useArrow=True)(F.when(found & first, F.col("text")), F.when(found & first, F.col("__spans")))
-    text = F.when(~found, F.col("text")).when(first, cut).otherwise("")
+    joined = _joined(
+        out.withColumn("__key", content_key("text")), keep(spans, "spans"), F.col("__key") == F.col("__k"), __cut=cut
+    )
+    text = F.when(~found, F.col("text")).when(first, F.col("__cut")).otherwise("")
     n = F.when(~found, 0).when(first, F.size("__spans")).otherwise(1)
     out = joined.withColumn("__text", text).withColumn("n_removed", F.col("n_removed") + n)
     out = out.drop("text").withColumnRenamed("__text", "text")
@@ -113,11 +115,13 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     return out.select(*[c for c in docs.columns if c != "n_removed"], "n_removed")
 
 
-def _joined(docs: DataFrame, found: DataFrame, on: Column) -> DataFrame:
-    """Left join of ``docs(__key, …)`` with ``found(__k, …)``; only texts that can have a row there are shuffled."""
+def _joined(docs: DataFrame, found: DataFrame, on: Column, **more: Column) -> DataFrame:
+    """Left join of ``docs(__key, …)`` with ``found(__k, …)``; only texts that can have a row there are shuffled.
+    Columns ``more`` are computed of those alone; the others have nulls in them."""
     maybe = KeyFilter(found, "__k").maybe(F.col("__key"))
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields]
-    return docs.filter(maybe).join(found, on, "left").unionByName(docs.filter(~maybe).select("*", *none))
+    both = docs.filter(maybe).join(found, on, "left").withColumns(more)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in both.schema.fields if f.name not in docs.columns]
+    return both.unionByName(docs.filter(~maybe).select("*", *none))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -164,11 +168,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = windows.join(first.select("window", "first"), "window").filter(at != F.col("first"))
     own = (F.col("first.text_key") == F.col("text_key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
     start = F.when(own, F.greatest("word", F.col("first.word") + min_words)).otherwise(F.col("word"))
-    runs = again.select("text_key", F.struct(start.alias("start"), (F.col("word") + min_words).alias("end")).alias("run"))
-    union = F.udf(_union, "array<array<int>>", useArrow=True)
-    spans = runs.groupBy("text_key").agg(F.collect_set("run").alias("runs")).select(  # those of one text
-        "text_key", union(F.col("runs.start"), F.col("runs.end")).alias("spans")
-    )
+    runs = again.select("text_key", start.alias("start"), (F.col("word") + min_words).alias("end"))
+    spans = _spans(runs)
     out = contents.select("text_key", "doc_id", "copied").join(spans, "text_key", "left").filter("copied or spans is not null")
     return out.select("text_key", "doc_id", F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"))
 
@@ -242,17 +243,21 @@ def _windows(min_words: int):
     return digests
 
 
-def _union(starts: list[int], ends: list[int]) -> list[list[int]]:
-    """Runs that touch or overlap, joined."""
-    out: list[list[int]] = []
-    for start, end in sorted(zip(starts, ends, strict=True)):
-        if start >= end:
-            continue
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return out
+def _spans(runs: DataFrame) -> DataFrame:
+    """``(text_key, spans)`` of ``runs(text_key, start, end)``: those that touch or overlap, joined.
+
+    Rows are sorted and looked at one after the other, so that a text's runs are never gathered
+    in one value; only its spans are, of which there are few.
+    """
+    order = Window.partitionBy("text_key").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = runs.withColumn("apart", F.coalesce((F.col("start") > reach).cast("int"), F.lit(0)))
+    numbered = apart.withColumn("span", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy("text_key", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    all_of = F.sort_array(F.collect_list(F.struct("start", "end")))  # those of one text
+    return joined.groupBy("text_key").agg(all_of.alias("all")).select(
+        "text_key", F.transform("all", lambda s: F.array(s["start"], s["end"])).alias("spans")
+    )
 
 
 def _cut(text: str | None, spans: list[list[int]] | None) -> str | None:

@@ -241,6 +241,27 @@ def test_passages_against_brute_force(spark):
         assert got.split() == want[i]
 
 
+def test_spans_are_joined_runs(spark):
+    r = random.Random(8)
+    runs = [(b"%d" % (i % 5), s, s + r.choice([1, 3, 12])) for i in range(60) for s in [r.randrange(90)]]
+    found = {x["text_key"]: x["spans"] for x in paragraphs._spans(spark.createDataFrame(runs * 2, "text_key binary, start int, end int")).collect()}
+    for key in {x[0] for x in runs}:
+        words = {2 * w for k, s, e in runs if k == key for w in range(s, e)} | {2 * w - 1 for k, s, e in runs if k == key for w in range(s + 1, e + 1)}
+        ends = [w for w in sorted(words) if w + 1 not in words]
+        assert [e for _, e in found[key]] == [(w + 1) // 2 for w in ends]
+        assert {w for s, e in found[key] for w in range(2 * s, 2 * e)} == words
+
+
+def test_passages_are_found_without_gathering_runs_in_python(spark):
+    """Runs of a text are not rows of Python lists, and texts without a passage do not go through Python to be cut."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    table = spark.createDataFrame([(i, prose(80, i % 2)) for i in range(4)], "doc_id long, text string")
+    assert "EvalPython" not in plan(paragraphs.repeated_passages(table))
+    cutting = plan(paragraphs.drop_repeated_paragraphs(table)).splitlines()
+    union, cut = (next(i for i, x in enumerate(cutting) if part in x) for part in ("Union", "EvalPython [_cut("))
+    assert union < cut
+
+
 def test_token_counts_are_the_librarys(docs, nothing, spark):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for r in tokencount.token_counts(docs, MODEL, limit=100).collect():
