@@ -57,3 +57,33 @@ def test_columns_of_all_tables_are_never_broadcast(spark, report, sides):
 def test_locks_at_the_targets_are_found_once(spark):
     c = catalog(spark, SF)
     assert "Aggregate" not in plan(locks.class_pairs(c, locks.lock_classes(c).filter("n_pairs > 0")))
+
+
+def test_pairs_of_indexes_are_made_by_the_last_join(spark):
+    joins = [x for x in plan(indexes.contained_indexes(catalog(spark, SF))).splitlines() if "Join" in x]
+    assert "right_columns" in joins[0]
+
+
+@pytest.mark.parametrize("hot_rows", [4096, 3])
+def test_contained_indexes_against_all_pairs(spark, hot_rows):
+    """Tables with many indexes over few column sets, predicates, expressions, system schemas, nulls."""
+    r = random.Random(12)
+    tables = [{"oid": i, "relname": f"t{i}", "relnamespace": 1 + i % 3} for i in range(1, 7)]
+    rows = [
+        {"indexrelid": r.choice([None, *[i] * 20]), "indrelid": r.choice([1, 1, 1, 2, 3, 4, None]), "indexname": f"i{i}", "index_bytes": i % 7,
+         "indkey": r.choice(["1", "1", "1 2", "2 1", "2 1 1", "3", "4 2 1", "0 1", None]), "indpred": r.choice([None, None, "x"]),
+         "amname": r.choice(["btree", "BTREE", "gin"]), "indisunique": i % 2 == 0}
+        for i in range(90)
+    ]
+    c = small_catalog(spark, pg_index=rows, pg_class=tables)
+    usable = [x for x in rows if x["amname"].lower() == "btree" and x["indkey"] and "0" not in x["indkey"] and None not in (x["indexrelid"], x["indrelid"])]
+    key = lambda x: set(x["indkey"].split())
+    expected = Counter(
+        (["public", "app"][x["indrelid"] % 3], f"t{x['indrelid']}", x["indexname"], x["indisunique"], x["index_bytes"], y["indexname"], key(x) == key(y))
+        for x in usable for y in usable
+        if x["indrelid"] == y["indrelid"] and x["indrelid"] % 3 != 2 and y["indpred"] is None and x is not y
+        and (key(x) < key(y) or key(x) == key(y) and x["indexrelid"] > y["indexrelid"])
+    )
+    found = indexes.contained_indexes(c, hot_rows)
+    assert Counter(values(found, "schema", "table", "index", "indisunique", "index_bytes", "contained_in", "same_columns")) == expected
+    assert len(expected) > 100
