@@ -163,8 +163,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "windows",
     )
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "word")
-    # A document with two rows is read twice, at the same places.
-    first = windows.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("final")).filter("first <> final")
+    # A document with two rows is read twice, at the same places: those windows are no others than the first.
+    first = windows.groupBy("window").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = windows.join(first.select("window", "first"), "window").filter(at != F.col("first"))
     own = (F.col("first.text_key") == F.col("text_key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
     start = F.when(own, F.greatest("word", F.col("first.word") + min_words)).otherwise(F.col("word"))

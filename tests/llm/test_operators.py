@@ -9,13 +9,14 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetlens.llm import chat, linking, minhash, mixing, multiindex, paragraphs, pieces, tokencount, topk, toxicity, warc
+from fleetlens.llm import chat, common, linking, minhash, mixing, multiindex, paragraphs, pieces, tokencount, topk, toxicity, warc
 from fleetlens.llm.common import WordHashes, shingles
 from fleetlens.llm.components import components
 from fleetlens.llm.vocabulary import read_vocabulary
@@ -262,6 +263,36 @@ def test_passages_are_found_without_gathering_runs_in_python(spark):
     assert union < cut
 
 
+def test_kept_tables_go_through_python_in_small_batches(spark):
+    """A task's texts are not in a worker all at once, and the session has its own settings again."""
+    before = {key: spark.conf.get(key, None) for key in (common.BATCHES, common.FREE_SHUFFLES)}
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    kept = common.keep(spark.range(0, 4500, 1, 1).mapInArrow(sizes, "n long"), "sizes")
+    found = [r["n"] for r in kept.collect()]
+    assert sum(found) == 4500 and max(found) <= common.BATCH_ROWS
+    assert {key: spark.conf.get(key, None) for key in before} == before
+
+
+def test_a_repeated_row_is_no_earlier_place(spark):
+    """Rows that come twice repeat no passage; the same passage elsewhere does, once per place."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage), (1, passage), (2, f"other {passage} end"), (2, f"other {passage} end"), (3, prose(70, 3)), (3, prose(70, 3))]
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [(r["doc_id"], r["spans"]) for r in found] == [(2, [[1, 61]])]
+
+
+def test_windows_are_summed_with_one_place_each(spark):
+    """The least place of a window and a number, not two places, are sorted and shuffled."""
+    table = spark.createDataFrame([(i, prose(80, i % 2)) for i in range(4)], "doc_id long, text string")
+    plan = paragraphs.repeated_passages(table)._jdf.queryExecution().optimizedPlan().toString()
+    summed = next(x for x in plan.splitlines() if "Aggregate [window" in x)
+    assert "min(" in summed and "max(" not in summed
+
+
 def test_token_counts_are_the_librarys(docs, nothing, spark):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for r in tokencount.token_counts(docs, MODEL, limit=100).collect():
