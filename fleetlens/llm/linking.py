@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import as_longs, keep, mix
+from fleetlens.llm.common import as_longs, keep, mix, tidy
 from fleetlens.llm.components import components
 
 #: Contents that one cell of the exact way through a mixed bucket holds on a side.
@@ -115,6 +115,7 @@ def link_contents(
 def _verified(pairs: DataFrame, similarity: float, read: Callable) -> DataFrame:
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, y = None, None
         for batch in batches:
@@ -168,6 +169,7 @@ def _cells(members: DataFrame, mixed: DataFrame, roots: DataFrame, block: int) -
 def _cell_links(similarity: float, read: Callable):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import (
-    WordHashes, as_longs, content_key, keep, mix, remembered, shingles, texts,
+    WordHashes, as_longs, content_key, keep, mix, remembered, shingles, texts, tidy,
 )
 from fleetlens.llm.linking import band_hashes, link_contents, tune_bands
 
@@ -164,6 +164,7 @@ def widen(data: bytes, size: int) -> np.ndarray:
 
 
 def _blocks(parts: int):
+    @tidy
     def send(chunk: pa.Table) -> pa.Table:
         known = remembered("words", WordHashes)
         found = [np.unique(shingles(known.of(text))) for text in texts(chunk.column("text"))]
@@ -187,6 +188,7 @@ def _blocks(parts: int):
 def _answers(n: int):
     rare = int(level_of(np.ones(1), n)[0])
 
+    @tidy
     def answer(blocks: pa.Table) -> pa.Table:
         sizes = blocks.column("size").to_pylist()
         ids, counts = (
@@ -203,6 +205,7 @@ def _answers(n: int):
 
 
 def _levelled(parts: int, rare: int, emit: Callable):
+    @tidy
     def give(rows: pa.Table, answers: pa.Table) -> pa.Table:
         known = remembered("words", WordHashes)
         found = [np.unique(shingles(known.of(text)), return_counts=True) for text in texts(rows.column("text"))]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import (
-    KeyFilter, WordHashes, as_longs, content_key, keep, line_key, low_bytes, mix, shingles, texts,
+    KeyFilter, WordHashes, as_longs, content_key, keep, line_key, low_bytes, mix, shingles, texts, tidy,
 )
 from fleetlens.llm.linking import band_hashes, link_contents, pack, tune_bands
 
@@ -186,6 +186,7 @@ def _anchor_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarra
 def _anchors(min_words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -215,6 +216,7 @@ def _windows(min_words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("word", pa.int32()), ("window", pa.binary())])
     part = 1 << 16
 
+    @tidy
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -293,6 +295,7 @@ def _sign(bands: int, rows: int, min_words: int, seed: int):
         [("doc_id", pa.int64()), ("text_key", pa.binary()), ("paragraph", pa.int32()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))]
     )
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -329,6 +332,7 @@ def _sign(bands: int, rows: int, min_words: int, seed: int):
     return sign
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WordHashes, keep, shingles, texts
+from fleetlens.llm.common import WordHashes, keep, shingles, texts, tidy
 
 #: Labelled documents that the lexicon and the weights are learned from, at most.
 SAMPLE = 20_000
@@ -197,6 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(model.whole, model.starts, _regression(np.array([r["x"] for r in data]), np.array([r["toxic"] for r in data])))
 
 
+@tidy
 def _least_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:
@@ -207,6 +208,7 @@ def _least_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _patterns(wanted):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -246,6 +248,7 @@ def _lexicon(toxic: dict[str, int], clean: dict[str, int], sizes: dict[int, int]
 
 
 def _features(model: Model):
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model)
         for batch in batches:
@@ -274,6 +277,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     a match. Columns of these names that ``docs`` has are replaced.
     """
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, weights = Grammar(model), np.array(model.weights)
         for batch in batches:

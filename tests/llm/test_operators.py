@@ -9,8 +9,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
+import psutil
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -277,6 +278,26 @@ def test_kept_tables_go_through_python_in_small_batches(spark):
     assert {key: spark.conf.get(key, None) for key in before} == before
 
 
+def test_workers_give_memory_back_after_each_task(monkeypatch):
+    """Idle workers do not hold what their largest task took."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_key": [b"k"], "text": [prose(80, 1)], "chunk": [0], "n": [1], "toxic": [0]})
+    for work in (paragraphs._anchors(50), paragraphs._sign(2, 4, 50, 8), toxicity._least_shingle, toxicity._patterns(None)):
+        assert len(list(work(iter([batch])))) == 1
+    assert len(minhash._blocks(1)(pa.Table.from_batches([batch]))) == 1
+    assert len(calls) == 5
+
+
+def test_free_memory_goes_back_to_the_system():
+    process = psutil.Process()
+    parts = [bytes(30_000) for _ in range(4000)]
+    last, full = bytes(parts[-1]) + b"x", process.memory_info().rss
+    del parts
+    common.give_back()
+    assert last and process.memory_info().rss < full - 80e6
+
+
 def test_a_repeated_row_is_no_earlier_place(spark):
     """Rows that come twice repeat no passage; the same passage elsewhere does, once per place."""
     passage = " ".join(f"w{i}" for i in range(60))
