@@ -55,11 +55,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; every stage is kept before the next one reads it."""
-    from fleetlens.llm.common import keep
+    from fleetlens.llm.common import forget, keep
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = keep(docs, name)
+            if i:
+                forget(given)
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import as_longs, keep, mix, tidy
+from fleetlens.llm.common import as_longs, forget, keep, mix, tidy
 from fleetlens.llm.components import components
 
 #: Contents that one cell of the exact way through a mixed bucket holds on a side.
@@ -70,7 +70,7 @@ def link_contents(
     block: int = BLOCK,
     read: Callable[[bytes], tuple[np.ndarray, np.ndarray]] | None = None,
 ) -> DataFrame:
-    """``(node, root)`` of the contents that are linked to another one.
+    """``(node, root)``, a kept table, of the contents that are linked to another one.
 
     ``nodes(node, bands)`` has a row per distinct content; ``sets(candidates)``
     gives ``(node, data)`` for a table of nodes; ``read`` makes hashes and weights of
@@ -100,16 +100,20 @@ def link_contents(
         data.select(F.col("node").alias("head"), F.col("data").alias("y")), "head"
     )
     links = keep(_verified(first, similarity, read), "links")
-    roots = keep(components(links), "roots")
+    roots = components(links)
 
     mixed = _mixed(members, roots)
     cells = _cells(members.select("band", "node"), mixed, roots, block).join(data, "node")
     cells = cells.repartition("band", "cell").sortWithinPartitions("band", "cell")
     more = cells.mapInArrow(_cell_links(similarity, read), "a binary, b binary")
     more = keep(more.distinct(), "links")
-    if more.isEmpty():
-        return roots
-    return components(links.unionByName(more))
+    forget(members, data, links)
+    if not more.isEmpty():
+        first = roots
+        roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        forget(first)
+    forget(more)
+    return roots
 
 
 def _verified(pairs: DataFrame, similarity: float, read: Callable) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import (
-    WordHashes, as_longs, content_key, keep, mix, remembered, shingles, texts, tidy,
+    WordHashes, as_longs, content_key, forget, keep, mix, remembered, shingles, texts, tidy,
 )
 from fleetlens.llm.linking import band_hashes, link_contents, tune_bands
 
@@ -79,6 +79,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         ),
         "classes",
     )
+    forget(by_text, contents, roots)
     return (
         docs.select("doc_id", content_key("text").alias("node"))
         .join(classes, "node")

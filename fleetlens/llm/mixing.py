@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import keep
+from fleetlens.llm.common import forget, keep
 
 LEVELS = ("domain", "lang", "source")
 #: Leaves whose plan is broadcast, at most; with more it is joined by a shuffle.
@@ -142,16 +142,17 @@ def mix(
     cut = inside.withColumn("running", running).filter("running <= rest").groupBy(*LEVELS).agg(
         F.max(F.struct("h", _own_id().alias("d"))).alias("cut")
     )
-    plan = keep(
+    cuts = keep(
         plan.select(*LEVELS, "epochs", "rest")
         .join(last.select(*LEVELS, "bucket"), list(LEVELS), "left")
         .join(cut, list(LEVELS), "left"),
         "plan",
     )
+    forget(sizes, plan, last)
     taken = docs.drop("epoch", "n_tokens")
     names = [f"__{c}" for c in LEVELS]
     marked = taken.select(*taken.columns, *[c.alias(n) for c, n in zip([domain, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))], names, strict=True)])
-    renamed = plan.select(*[F.col(c).alias(f"__p{c}") for c in LEVELS], *[F.col(c).alias(f"__{c}") for c in ("epochs", "bucket", "cut")])
+    renamed = cuts.select(*[F.col(c).alias(f"__p{c}") for c in LEVELS], *[F.col(c).alias(f"__{c}") for c in ("epochs", "bucket", "cut")])
     same = reduce(lambda a, b: a & b, [F.col(f"__{c}") == F.col(f"__p{c}") for c in LEVELS])
     joined = marked.join(small(renamed), same)
     h = F.xxhash64(F.lit(seed), "__epochs", "doc_id")

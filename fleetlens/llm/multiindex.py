@@ -115,7 +115,7 @@ def linked_vectors(
         "entries",
     )
     links, counts = _links(entries, similarity, recall, sample, block)
-    roots = keep(components(links), "roots")
+    roots = components(links)
     placed = keep(
         entries.select("node", "copies", "least").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node")),
         "placed",

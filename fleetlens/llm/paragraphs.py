@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import (
-    KeyFilter, WordHashes, as_longs, content_key, keep, line_key, low_bytes, mix, shingles, texts, tidy,
+    KeyFilter, WordHashes, as_longs, content_key, forget, keep, line_key, low_bytes, mix, shingles, texts, tidy,
 )
 from fleetlens.llm.linking import band_hashes, link_contents, pack, tune_bands
 
@@ -27,7 +27,7 @@ MIN_WORDS = 50
 def repeated_paragraphs(
     docs: DataFrame, similarity: float = 0.8, recall: float = 0.998, min_words: int = MIN_WORDS, seed: int = 8
 ) -> DataFrame:
-    """``(doc_id, text_key, paragraph, root)``: the paragraphs to remove, by line number.
+    """``(doc_id, text_key, paragraph, root)``, a kept table: the paragraphs to remove, by line number.
 
     A paragraph is a line of at least ``min_words`` words. MinHash signatures of
     its five-word shingles are cut into bands tuned to find a pair at the
@@ -54,22 +54,30 @@ def repeated_paragraphs(
         "contents",
     )
 
+    filters = []
+
     def sets(candidates: DataFrame) -> DataFrame:
+        filters.append(KeyFilter(candidates, "node"))
         lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= 2 * min_words - 1)
         lines = lines.select(content_key("line").alias("node"), "line")
-        lines = lines.filter(KeyFilter(candidates, "node").maybe(F.col("node"))).join(candidates, "node")
+        lines = lines.filter(filters[-1].maybe(F.col("node"))).join(candidates, "node")
         return lines.groupBy("node").agg(F.first("line").alias("line")).mapInArrow(_sets, "node binary, data binary")
 
     roots = link_contents(contents.select("node", "bands"), sets, similarity, weighted=False)
     groups = contents.select("node", "place", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = groups.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("places")).filter("places > 1")
     again = groups.select("node", "root").join(first, "root").select("node", "root", "first")
-    return (
+    out = keep(
         places.select("node", "doc_id", "text_key", "paragraph")
         .join(again, "node")
         .filter(place != F.col("first"))
-        .select("doc_id", "text_key", "paragraph", "root")
+        .select("doc_id", "text_key", "paragraph", "root"),
+        "repeated",
     )
+    forget(places, contents, roots)
+    for used in filters:
+        used.free()
+    return out
 
 
 def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
@@ -84,18 +92,23 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     text. A null text stays null; a text may become empty. If ``docs`` already has
     a column ``n_removed``, it is replaced.
     """
-    gone = repeated_paragraphs(docs, **settings).groupBy("doc_id", "text_key").agg(
+    repeated = repeated_paragraphs(docs, **settings)
+    gone = repeated.groupBy("doc_id", "text_key").agg(
         F.collect_set("paragraph").alias("__gone")  # lines of one document
     ).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "__gone")
     gone = keep(gone, "gone")
+    forget(repeated)
     keyed = docs.withColumn("__key", content_key("text"))
-    joined = _joined(keyed, gone, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")))
+    look = KeyFilter(gone, "__k")
+    joined = _joined(keyed, gone, look, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")))
     kept = F.array_join(
         F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"
     )
     out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
     out = out.withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"))
     out = keep(out.drop("__key", "__k", "__d", "__gone"), "shortened")
+    forget(gone)
+    look.free()
 
     spans = repeated_passages(out, settings.get("min_words", MIN_WORDS)).select(
         F.col("text_key").alias("__k"), F.col("doc_id").alias("__d"), F.col("spans").alias("__spans")
@@ -103,7 +116,7 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     found, first = F.col("__k").isNotNull(), F.col("doc_id").eqNullSafe(F.col("__d"))
     cut = F.udf(_cut, "string", useArrow=True)(F.when(found & first, F.col("text")), F.when(found & first, F.col("__spans")))
     joined = _joined(
-        out.withColumn("__key", content_key("text")), keep(spans, "spans"), F.col("__key") == F.col("__k"), __cut=cut
+        out.withColumn("__key", content_key("text")), spans, KeyFilter(spans, "__k"), F.col("__key") == F.col("__k"), __cut=cut
     )
     text = F.when(~found, F.col("text")).when(first, F.col("__cut")).otherwise("")
     n = F.when(~found, 0).when(first, F.size("__spans")).otherwise(1)
@@ -115,17 +128,17 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     return out.select(*[c for c in docs.columns if c != "n_removed"], "n_removed")
 
 
-def _joined(docs: DataFrame, found: DataFrame, on: Column, **more: Column) -> DataFrame:
-    """Left join of ``docs(__key, …)`` with ``found(__k, …)``; only texts that can have a row there are shuffled.
+def _joined(docs: DataFrame, found: DataFrame, look: KeyFilter, on: Column, **more: Column) -> DataFrame:
+    """Left join of ``docs(__key, …)`` with ``found(__k, …)``, of whose keys ``look`` tells; only texts that can have a row there are shuffled.
     Columns ``more`` are computed of those alone; the others have nulls in them."""
-    maybe = KeyFilter(found, "__k").maybe(F.col("__key"))
+    maybe = look.maybe(F.col("__key"))
     both = docs.filter(maybe).join(found, on, "left").withColumns(more)
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in both.schema.fields if f.name not in docs.columns]
     return both.unionByName(docs.filter(~maybe).select("*", *none))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(text_key, doc_id, spans)`` of the texts that hold a passage again.
+    """``(text_key, doc_id, spans)``, a kept table, of the texts that hold a passage again.
 
     A passage is a run of ``min_words`` words or more that stands, word for word, at
     an earlier place too (smaller doc_id, null last; then text; then word). White
@@ -154,7 +167,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wanted = anchors.distinct().join(twice, "anchor").groupBy("text_key").agg(F.collect_list("anchor").alias("anchors"))  # those of one text
     wanted = keep(wanted.join(contents.select("text_key", "doc_id"), "text_key"), "wanted")
     text = docs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "text")
-    text = text.filter(KeyFilter(wanted, "text_key").maybe(F.col("k")))
+    look = KeyFilter(wanted, "text_key")
+    text = text.filter(look.maybe(F.col("k")))
     found = wanted.join(text, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     windows = keep(
         found.select("doc_id", "text_key", "anchors", "text").mapInArrow(
@@ -162,6 +176,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ),
         "windows",
     )
+    forget(wanted)
+    look.free()
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "word")
     # A document with two rows is read twice, at the same places: those windows are no others than the first.
     first = windows.groupBy("window").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -171,7 +187,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = again.select("text_key", start.alias("start"), (F.col("word") + min_words).alias("end"))
     spans = _spans(runs)
     out = contents.select("text_key", "doc_id", "copied").join(spans, "text_key", "left").filter("copied or spans is not null")
-    return out.select("text_key", "doc_id", F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"))
+    out = keep(out.select("text_key", "doc_id", F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans")), "spans")
+    forget(contents, windows)
+    return out
 
 
 def _anchor_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:

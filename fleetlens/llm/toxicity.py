@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WordHashes, keep, shingles, texts, tidy
+from fleetlens.llm.common import WordHashes, forget, keep, shingles, texts, tidy
 
 #: Labelled documents that the lexicon and the weights are learned from, at most.
 SAMPLE = 20_000
@@ -186,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     model = Model({w: 3.0 for w in INSULTS}, {}, UNTRAINED)
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 5:
+        forget(rows)
         return model
     found = rows.filter("toxic = 1").mapInArrow(_patterns(None), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).filter("n >= 4")
     toxic = {r["pattern"]: r["n"] for r in found.collect()}  # patterns of the bounded sample
@@ -194,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     clean = {r["pattern"]: r["n"] for r in clean.collect()}
     model = Model(*_lexicon(toxic, clean, sizes), UNTRAINED)
     data = rows.mapInArrow(_features(model), "toxic int, x array<double>").collect()  # of the bounded sample
+    forget(rows)
     return Model(model.whole, model.starts, _regression(np.array([r["x"] for r in data]), np.array([r["toxic"] for r in data])))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import random
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -562,3 +564,41 @@ def test_pipeline_stages_on_odd_rows(spark, docs, nothing, tmp_path):
         assert now.columns[:2] == ["doc_id", "ids"]
         ids = {r["doc_id"] for r in now.collect()}
         assert 2 not in ids and 14 not in ids
+
+
+def kept_names(spark):
+    """Kept tables that lie in the shared folder."""
+    folder = common.shared_folder(spark).removeprefix("file:")
+    return {n for n in os.listdir(folder) if n.startswith("llm-")}
+
+
+def test_kept_tables_go_when_all_that_reads_them_is_kept(spark, docs):
+    """Only what the unfinished result still reads stays in the shared folder."""
+    kinds = lambda names: sorted(n.split("-")[1] for n in names)
+    text = docs.select("doc_id", "text")
+    for made, left in (
+        (lambda: minhash.near_duplicates(text), ["classes", "levels"]),
+        (lambda: paragraphs.drop_repeated_paragraphs(text), ["shortened", "spans"]),
+        (lambda: mixing.mix(docs, fraction=0.9, max_epochs=1), ["plan"]),
+    ):
+        before = kept_names(spark)
+        result = made()
+        assert kinds(kept_names(spark) - before) == left
+        assert result.count() >= 0
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    """A round is seven shuffles; a table of one task's work needs none, a larger one has the same components."""
+    links = [(i, i + 1) for i in range(40)] + [(100 + i, 99) for i in range(30)] + [(7, 7), (None, 1)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(5)
+    expected = {i: 0 for i in range(41)} | {i: 99 for i in range(99, 130)}
+    rounds = []
+    module = sys.modules["fleetlens.llm.components"]
+    real = module._print
+    monkeypatch.setattr(module, "_print", lambda edges: rounds.append(1) or real(edges))
+    assert {r["node"]: r["root"] for r in components(table).collect()} == expected and not rounds
+    monkeypatch.setattr(module, "PART", 20)
+    before = kept_names(spark)
+    roots = components(table)
+    assert len(kept_names(spark) - before) == 1
+    assert {r["node"]: r["root"] for r in roots.collect()} == expected and rounds
