@@ -110,7 +110,10 @@ def drop_repeated_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     forget(gone)
     look.free()
 
-    spans = repeated_passages(out, settings.get("min_words", MIN_WORDS)).select(
+    passages, read = _passages(out, settings.get("min_words", MIN_WORDS))
+    spans = keep(passages, "spans")
+    forget(*read)
+    spans = spans.select(
         F.col("text_key").alias("__k"), F.col("doc_id").alias("__d"), F.col("spans").alias("__spans")
     )
     found, first = F.col("__k").isNotNull(), F.col("doc_id").eqNullSafe(F.col("__d"))
@@ -138,7 +141,7 @@ def _joined(docs: DataFrame, found: DataFrame, look: KeyFilter, on: Column, **mo
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(text_key, doc_id, spans)``, a kept table, of the texts that hold a passage again.
+    """``(text_key, doc_id, spans)`` of the texts that hold a passage again.
 
     A passage is a run of ``min_words`` words or more that stands, word for word, at
     an earlier place too (smaller doc_id, null last; then text; then word). White
@@ -153,6 +156,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place of each stays, and spans are unions of the others. Nothing is paired, so
     a passage of many documents costs a row per place and word.
     """
+    return _passages(docs, min_words)[0]
+
+
+def _passages(docs: DataFrame, min_words: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """:func:`repeated_passages`, and the kept tables that it reads."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
     docs = docs.select("doc_id", content_key("text").alias("text_key"), "text")
     signed = docs.mapInArrow(_anchors(min_words), "doc_id long, text_key binary, anchors array<long>")
@@ -187,9 +195,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = again.select("text_key", start.alias("start"), (F.col("word") + min_words).alias("end"))
     spans = _spans(runs)
     out = contents.select("text_key", "doc_id", "copied").join(spans, "text_key", "left").filter("copied or spans is not null")
-    out = keep(out.select("text_key", "doc_id", F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans")), "spans")
-    forget(contents, windows)
-    return out
+    out = out.select("text_key", "doc_id", F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"))
+    return out, (contents, windows)
 
 
 def _anchor_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
