@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import keep, texts
+from fleetlens.llm.common import keep, texts, tidy
 
 #: Bytes of Latin-1: A-Z in lower case, a-z and 0xC0-0xFF as they are, the rest a space.
 LETTERS = bytes(
@@ -45,6 +45,7 @@ def count_words(docs: DataFrame, min_length: int = 7, min_count: int = 2, drop_e
         words = [w.decode("latin-1") for w in counts]
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -171,6 +172,7 @@ def _sorted_blocks(words: DataFrame, size: int) -> DataFrame:
     """The words in their order, ``size`` to a row, with the block's number and bounds."""
     schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("words", pa.string()), ("counts", pa.binary())])
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = [], []
 
@@ -208,6 +210,7 @@ def _scan_list(words: DataFrame, prefix: int, apart: int, size: int) -> DataFram
     table = spark.sparkContext.broadcast((bounds, places))
     met = pa.schema([("block", pa.int64()), ("other", pa.int64())])
 
+    @tidy
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, places = table.value
         for batch in batches:
@@ -231,6 +234,7 @@ def _scan_list(words: DataFrame, prefix: int, apart: int, size: int) -> DataFram
     )
     schema = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("most", pa.int64()), ("nearest", pa.string())])
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

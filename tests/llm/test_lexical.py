@@ -239,3 +239,12 @@ def test_counting_against_brute_force(spark, monkeypatch, every):
     table, _ = tables(spark, docs, [("a", "b")])
     assert {r["word"]: r["n"] for r in spelling.count_words(table, drop_every=every).collect()} == counted_by_hand(docs, every)
     assert spelling.count_words(table.filter("false")).count() == 0
+
+
+def test_spelling_workers_give_memory_back(spark, monkeypatch):
+    """Workers of every step, idle ones as well, do not hold what their largest task took."""
+    real, wrapped = spelling.tidy, []
+    monkeypatch.setattr(spelling, "tidy", lambda work: wrapped.append(work.__name__) or real(work))
+    table = spark.createDataFrame([(1, "mistaken mistaken mistakem mistakem")], "doc_id long, text string")
+    assert spelling.variants(spelling.count_words(table)).count() == 2
+    assert set(wrapped) == {"count", "pack", "partners", "scan"}
