@@ -13,7 +13,7 @@ from fleetlens.functions.order import down, up
 from fleetlens.functions.text import concat_skip_null, span_text
 from fleetlens.functions.times import exact_seconds_between, seconds_between
 from fleetlens.plans.graphs import strong_components
-from fleetlens.plans.levels import cut_lineage, keep_rows, union_all, walk_levels
+from fleetlens.plans.levels import cut_lineage, drop_rows, keep_rows, stow_rows, union_all, walk_levels
 from fleetlens.plans.skew import HOT_ROWS, grid_join
 from fleetlens.sources.catalog import Catalog
 from fleetlens.sources.lock_modes import lock_conflicts
@@ -447,6 +447,47 @@ def _acquired(c: Catalog, locks: DataFrame, waits: DataFrame, limit: int) -> Dat
     )
 
 
+#: What the report says of a session that the activity view does not have.
+UNKNOWN = {"about": "Connect:   local\nSQL: N/A", "state_text": " started\n\n ago"}
+
+
+def _session_texts(c: Catalog, locks: DataFrame, waits: DataFrame, shown: int) -> DataFrame:
+    """(keys, pid, about, acquired, state_text): what the report says of a session wherever it stands."""
+    involved = waits.select(*c.on("pid")).unionByName(waits.select(*c.keys, F.col("blocker_pid").alias("pid"))).distinct()
+    sessions = c.table("pg_stat_activity").select(
+        *c.on("pid", "usename", "datname", "client_addr", "client_port", "query", "query_start", "wait_event", "state")
+    )
+    address = F.concat(
+        F.get(F.split("client_addr", "/"), F.lit(0)), F.lit(":"), F.col("client_port").cast("string")
+    )
+    about = concat_skip_null(
+        "Connect: ", F.col("usename"), " ", F.col("datname"), " ", F.coalesce(address, F.lit("local")),
+        "\nSQL: ",
+        F.replace(F.substring(F.coalesce("query", F.lit("N/A")), 1, 60), F.lit("\n"), F.lit(" ")),
+    )
+    # The age that chooses the format counts from the start of the day.
+    long_ago = exact_seconds_between(F.col("query_start"), F.date_trunc("day", c.now)) > 86400
+    day = F.concat(
+        F.rpad(F.date_format("query_start", "EEEE"), 9, " "), F.date_format("query_start", " dd MMM")
+    )
+    state = concat_skip_null(
+        F.when(long_ago, day).otherwise(F.date_format("query_start", "HH:mm:ss")),
+        " started\n",
+        F.when(F.col("wait_event").isNotNull(), "waiting").otherwise(F.col("state")),
+        "\n",
+        span_text(seconds_between(F.col("query_start"), c.now)),
+        " ago",
+    )
+    acquired = stow_rows(_acquired(c, locks, waits, shown))
+    texts = stow_rows(
+        involved.join(acquired, c.on("pid"), "left")
+        .join(sessions, c.on("pid"), "left")
+        .select(*c.on("pid"), about.alias("about"), "acquired", state.alias("state_text"))
+    )
+    drop_rows(acquired)
+    return texts
+
+
 def lock_report(
     c: Catalog, max_depth: int | None = REPORT_DEPTH, hot_rows: int = HOT_ROWS, shown: int = LOCKS_SHOWN
 ) -> DataFrame:
@@ -456,81 +497,54 @@ def lock_report(
     the pids from the root down. A session that is already above in its own
     branch (a deadlock) does not open another level. ``max_depth=None`` follows
     every branch to its end; ``shown`` held locks are spelled out, the rest counted.
+
+    Trees have far more rows than there are sessions: what is said of a session is made once for
+    each, and a row of a tree is no more than its lock and ``seq``, which ends with its own pid.
     """
     locks = _report_locks(c)
-    waits = cut_lineage(_waits(c, locks, hot_rows))
-    sessions = c.table("pg_stat_activity")
+    waits = stow_rows(_waits(c, locks, hot_rows))
+    texts = _session_texts(c, locks, waits, shown)
     waiting_pids = waits.select(*c.on("pid")).distinct()
-    started = sessions.select(*c.on("pid"), to_whole(F.unix_micros("query_start") / F.lit(1e6)).alias("started"))
+    started = c.table("pg_stat_activity").select(
+        *c.on("pid"), to_whole(F.unix_micros("query_start") / F.lit(1e6)).alias("started")
+    )
     seed = (
         waits.select(*c.keys, F.col("blocker_pid").alias("pid"))
         .distinct()
         .join(waiting_pids, c.on("pid"), "left_anti")
         .join(started, c.on("pid"), "left")
-        .select(
-            *c.on("pid"),
-            F.lit(None).cast("string").alias("lock_target"),
-            F.array("started", "pid").alias("seq"),
-        )
+        .select(*c.keys, F.lit(None).cast("string").alias("lock_target"), F.array("started", "pid").alias("seq"))
     )
     below = waits.select(*c.keys, F.col("blocker_pid").alias("above"), F.col("pid").alias("next"), "lock_target")
 
     def step(level: DataFrame, depth: int) -> DataFrame:
         branch = F.slice("seq", 2, depth)
         return (
-            level.select(*c.keys, F.col("pid").alias("above"), "seq")
+            level.select(*c.keys, F.element_at("seq", -1).alias("above"), "seq")
             .join(below, c.on("above"), "inner")
             .filter(~F.array_contains(branch, F.col("next")))
-            .select(
-                *c.keys,
-                F.col("next").alias("pid"),
-                "lock_target",
-                F.array_append("seq", F.col("next")).alias("seq"),
-            )
+            .select(*c.keys, "lock_target", F.array_append("seq", F.col("next")).alias("seq"))
         )
 
-    tree = union_all(walk_levels(seed, step, None if max_depth is None else max_depth + 1))
+    tree = union_all(walk_levels(seed, step, None if max_depth is None else max_depth + 1, stow_rows))
+    drop_rows(waits)
     depth = F.size("seq") - 2
-    address = F.concat(
-        F.get(F.split("client_addr", "/"), F.lit(0)), F.lit(":"), F.col("client_port").cast("string")
-    )
     info = concat_skip_null(
-        "Connect: ", F.col("usename"), " ", F.col("datname"), " ", F.coalesce(address, F.lit("local")),
-        "\nSQL: ",
-        F.replace(F.substring(F.coalesce("query", F.lit("N/A")), 1, 60), F.lit("\n"), F.lit(" ")),
+        F.coalesce("about", F.lit(UNKNOWN["about"])),
         F.concat(F.lit("\nWaiting: "), F.col("lock_target")),
         F.concat(F.lit("\nAcquired:\n  "), F.col("acquired")),
     )
-    # The age that chooses the format counts from the start of the day.
-    long_ago = exact_seconds_between(F.col("query_start"), F.date_trunc("day", c.now)) > 86400
-    day = F.concat(
-        F.rpad(F.date_format("query_start", "EEEE"), 9, " "), F.date_format("query_start", " dd MMM")
-    )
-    state = concat_skip_null(
-        F.when(long_ago, day).otherwise(F.date_format("query_start", "HH:mm:ss")),
-        " started\n",
-        F.when(F.col("wait_event").isNotNull(), "waiting").otherwise(F.col("state")),
-        "\n",
-        span_text(seconds_between(F.col("query_start"), c.now)),
-        " ago",
-    )
-    df = (
-        tree.join(_acquired(c, locks, waits, shown), c.on("pid"), "left")
-        .join(
-            sessions.select(
-                *c.on("pid", "usename", "datname", "client_addr", "client_port", "query", "query_start", "wait_event", "state")
-            ),
-            c.on("pid"),
-            "left",
-        )
-        .select(
-            *c.keys,
-            concat_skip_null(F.lpad(F.lit("=> "), 4 * depth, F.lit(" ")), F.col("pid")).alias("pid"),
-            info.alias("lock_info"),
-            state.alias("state"),
-            depth.alias("depth"),
-            "seq",
-        )
+    of = texts.withColumnsRenamed({k: f"of_{k}" for k in c.keys})
+    # The pid is taken from ``seq`` on both sides of the shuffle, not sent along.
+    own = F.element_at("seq", -1)
+    same = reduce(and_, [tree[k] == of[f"of_{k}"] for k in c.keys], own == of["pid"])
+    df = tree.join(of, same, "left").select(
+        *c.keys,
+        concat_skip_null(F.lpad(F.lit("=> "), 4 * depth, F.lit(" ")), own).alias("pid"),
+        info.alias("lock_info"),
+        F.coalesce("state_text", F.lit(UNKNOWN["state_text"])).alias("state"),
+        depth.alias("depth"),
+        "seq",
     )
     return c.sort(df, up("seq"))
 

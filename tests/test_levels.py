@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.plans.levels import cut_lineage, ensure_checkpoint_dir, walk_levels
+from fleetlens.plans.levels import FREE_SHUFFLES, cut_lineage, drop_rows, ensure_checkpoint_dir, stow_rows, walk_levels
 
 
 class Context:
@@ -50,3 +51,20 @@ def test_walk_ends_with_an_empty_level_or_at_its_limit(spark):
 
     assert [x.count() for x in walk_levels(spark.range(3), step)] == [3, 2, 1, 0]
     assert [x.count() for x in walk_levels(spark.range(3), step, max_levels=2)] == [3, 2]
+
+
+def test_stowed_rows_leave_no_shuffles(spark):
+    def shuffles() -> int:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    wide = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    before = shuffles()
+    stowed = stow_rows(wide)
+    assert shuffles() <= before
+    assert spark.conf.get(FREE_SHUFFLES, None) in (None, "false")
+    assert sorted(map(tuple, stowed.collect())) == sorted(map(tuple, wide.collect()))
+    folder = Path(stowed.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.exists()
+    drop_rows(stowed)
+    assert not folder.exists()

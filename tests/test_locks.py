@@ -103,6 +103,28 @@ def test_grid_join_forms_every_pair_once(spark, hot_rows):
     assert Counter(values(df, "k", "l", "r")) == expected
 
 
+@pytest.mark.parametrize("depth", [0, 2, None])
+def test_report_equals_brute_force(spark, depth):
+    """A session known twice, sessions not known, deadlocks, two waits for one session."""
+    edges = sorted(graph(11, 6, 0.25) | {(5, 20), (20, 21), (6, 21)}) + [(20, 21)]
+    known = sessions(*range(1, 6), 5, 21, 21)
+    c = small_catalog(spark, pg_locks=waits_for(edges), pg_stat_activity=known)
+    copies = Counter(s["pid"] for s in known)
+    paths = [(h,) for h in sorted({h for _, h in edges} - {w for w, _ in edges}) for _ in range(copies[h] or 1)]
+    expected, n = Counter(), 0
+    while paths and (depth is None or n <= depth):
+        for p in paths:
+            expected[p] += copies[p[-1]] or 1
+        paths, n = [(*p, w) for p in paths for w, h in edges if h == p[-1] and w not in p], n + 1
+    rows = locks.lock_report(c, max_depth=depth).collect()
+    assert Counter(tuple(r.seq[1:]) for r in rows) == expected
+    assert max(r.depth for r in rows) == max(map(len, expected)) - 1
+    lost = [r for r in rows if not copies[r.seq[-1]]]
+    assert depth == 0 or lost
+    assert all(r.lock_info.startswith("Connect:   local\nSQL: N/A\nWaiting: ") and r.state == " started\n\n ago" for r in lost)
+    assert all(r.pid.split("=> ")[-1].strip() == str(r.seq[-1]) for r in rows)
+
+
 def test_a_hot_target_gives_the_same_pairs(spark):
     rows = [lock(p, 1 if p % 3 else p, p % 4 == 0) for p in range(1, 60)]
     c = small_catalog(spark, pg_locks=rows, pg_stat_activity=sessions(*range(1, 60)))

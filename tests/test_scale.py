@@ -54,6 +54,11 @@ def test_columns_of_all_tables_are_never_broadcast(spark, report, sides):
     assert plan(report(catalog(spark, SF))).count("strategy=merge") == sides
 
 
+def test_trees_of_the_lock_report_meet_the_sessions_once(spark):
+    """What is said of a session is found before, not joined to every row of the trees piece by piece."""
+    assert plan(locks.lock_report(catalog(spark, SF))).count("Join") == 1
+
+
 def test_locks_at_the_targets_are_found_once(spark):
     c = catalog(spark, SF)
     assert "Aggregate" not in plan(locks.class_pairs(c, locks.lock_classes(c).filter("n_pairs > 0")))
